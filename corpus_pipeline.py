@@ -1,21 +1,75 @@
-"""Corpus pipeline: the stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: raw documents to packed training sequences.
+
+toxicity -> near duplicates -> benchmark decontamination -> personal data -> packing. Each stage calls one operator of
+``tarn.llm`` on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tarn.llm.common import Staged
+from tarn.llm.decontam import with_leaks
+from tarn.llm.jaccard import similar_groups
+from tarn.llm.packing import pack
+from tarn.llm.pii import masked, with_personal
+from tarn.llm.pii import train as train_personal
+from tarn.llm.toxicity import train as train_toxicity
+from tarn.llm.toxicity import with_score
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3; the model learns from the labels of rows that aren't held out."""
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_score(docs.select(*COLUMNS), model, name="_score").where(F.col("_score") < TOXIC).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id; of rows that repeat id and text one."""
+    stays = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*COLUMNS)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return with_leaks(docs.select(*COLUMNS), bench, name="_leaks").where(F.size("_leaks") == 0).select(*COLUMNS)
 
-#: Model scores, graph components and packing have no SQL form; tests/llm holds the brute-force version.
+
+def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by [KIND]; n_chars is that of the new text (null stays null)."""
+    found = with_personal(docs.select(*COLUMNS), train_personal(docs), name="_spans")
+    text = F.when(F.size("_spans") > 0, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("personal_data", mask_personal),
+    ("packing", pack_sequences),
+]
+
+#: Trained scores, graph components and packing have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    from tarn.llm.common import Staged
-
     store, docs = Staged(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = store.put(stage(spark, docs, sf_dir))

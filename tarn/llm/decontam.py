@@ -16,12 +16,13 @@ a larger benchmark takes more passes over the documents, so what is broadcast is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = np.uint32(0x01000193)
@@ -194,38 +195,40 @@ def leaks_in(text: str, groups: list[Group], q: int) -> list[tuple[int, int, int
     return out
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 8, rate: float = 0.08, segment: int = 160, slice_chars: int = 4_000_000) -> DataFrame:
-    """One row for each leaked passage of each document row: the id column, item_id, start, end (code points), edits.
+def searcher(shared: Broadcast, id_type: str, q: int, rate: float, segment: int) -> Callable[[Column], Column]:
+    """A Pandas UDF that finds a slice of the benchmark in texts."""
+
+    @F.pandas_udf(f"array<struct<item_id:{id_type},start:long,end:long,edits:int>>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids, texts = shared.value
+        groups = groups_of(texts, q, rate, segment)
+        for column in batches:
+            yield pd.Series([[{"item_id": ids[i], "start": s, "end": e, "edits": n} for i, s, e, n in leaks_in(t or "", groups, q)] for t in column])
+
+    return search
+
+
+def with_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", name: str = "leaks", q: int = 8, rate: float = 0.08, segment: int = 160, slice_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with array<struct<item_id, start, end, edits>> of the leaked passages of each row (start, end in code points).
 
     ``bench`` has item_id and text. Null and empty texts on either side, and items under ``q`` characters, match nothing; of items
-    that repeat an id each counts. Repeated document rows are searched each. Other columns are not read.
+    that repeat an id each counts. Repeated document rows are searched each. An input column of that name is replaced.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     items = bench.select("item_id", "text").where("text is not null")
     chars = items.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
     slices = max(1, -(-int(chars) // slice_chars))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start long, end long, edits int"
-    out = None
+    id_type = items.schema["item_id"].dataType.simpleString()
+    found = []
     for k in range(slices):  # an item that is longer than a slice is a slice of its own at worst
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part]))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
-            groups = groups_of(texts, q, rate, segment)
-            for b in batches:
-                who, what, start, end, edits = [], [], [], [], []
-                for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for item, s, e, n in leaks_in(text, groups, q):
-                        who.append(d), what.append(ids[item]), start.append(s), end.append(e), edits.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(who, b.schema.field(0).type), pa.array(what, pa.int64() if not ids or isinstance(ids[0], int) else None), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "start", "end", "edits"])
-
-        found = rows.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("doc_id", id_col)
+        found.append(searcher(shared, id_type, q, rate, segment)(F.col(f"`{text_col}`")))
+    return docs.withColumn(name, F.concat(*found) if slices > 1 else found[0])
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of ``benchmark`` in ``documents``."""
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Every passage of ``benchmark`` in ``documents``: doc_id, item_id, start, end (code points), edits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.start", "x.end", "x.edits")
