@@ -112,9 +112,9 @@ def w11(spark, d):
     return rest.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
 
 
-@query("w12_aging", "SELECT o_orderkey, o_custkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01') WHERE rn <= 2 ORDER BY rn, o_custkey LIMIT 400")
+@query("w12_aging", "SELECT o_orderkey, o_custkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1997-06-01') WHERE rn <= 2 ORDER BY rn, o_custkey LIMIT 400")
 def w12(spark, d):
-    old = Criterion(where="o_orderdate < DATE_SUB(NOW(), INTERVAL 5 YEAR)", now="2000-01-01 00:00:00").apply(table(spark, d, "orders"))
+    old = Criterion(where="o_orderdate < DATE_SUB(NOW(), INTERVAL 5 YEAR)", now="2002-06-01 00:00:00").apply(table(spark, d, "orders"))
     return S.two_level(old, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], 2, 400).select("o_orderkey", "o_custkey", F.col("rn").cast("long"))
 
 
@@ -135,7 +135,7 @@ def w15(spark, d):
     return S.due_tasks(tasks, F.expr("timestamp_ntz'1996-01-01 00:00:00'"), 1, 50).select("id")
 
 
-@query("w16_time_slots", "SELECT CAST(epoch(ts) AS BIGINT) // 3600 * 3600 AS slot, count(*) AS n FROM events GROUP BY 1")
+@query("w16_time_slots", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS slot, count(*) AS n FROM events GROUP BY 1")
 def w16(spark, d):
     return S.slot_counts(table(spark, d, "events"), "ts", 3600)
 

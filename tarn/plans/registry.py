@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("q_select",)
+_MODULES = ("q_select", "q_relational", "q_merge")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
