@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = r"\p{L}\p{N}"
 
@@ -43,7 +44,7 @@ def stem(word: str, lang: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_hash_3(text: pd.Series, lang: pd.Series) -> pd.Series:
     """md5 of the stemmed lowered words, by language."""
     import hashlib
