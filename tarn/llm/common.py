@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,15 +48,17 @@ class Staged:
             hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table that ``Staged.put`` made."""
-    f = df.inputFiles()
-    return f[0].rsplit("/", 1)[0] if f else ""
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now: it acts when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
-def texts_of(col: pa.ChunkedArray | pa.Array) -> list[str]:
-    """Python strings of an Arrow text column, null as the empty string."""
-    return [x if x is not None else "" for x in col.to_pylist()]
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that what a step makes of long texts stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def fold64(x: np.ndarray) -> np.ndarray:
@@ -67,8 +70,3 @@ def fold64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """An id for each row that is stable only once the frame has been staged."""
-    return df.withColumn(name, F.monotonically_increasing_id())

@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Staged, fold64
-from tarn.llm.jaccard import by_group
+from tarn.llm.common import Staged, chunks, fold64
 
 BASE = 0x9E3779B97F4A7C15
 RUN = 16  # windows of an aligned run
@@ -168,7 +167,7 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     # 1. anchors
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in chunks(batches):
             t, s, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if len(text) * 4 >= width and key not in seen:
@@ -187,7 +186,7 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     # 2. segments of repeated anchors, sorted by what follows the anchor
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in chunks(batches, 64):
             out: dict[str, list] = defaultdict(list)
             for k1, k2, text, wanted_here in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k1, k2) in seen:
@@ -212,19 +211,25 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_segs = segs.repartitionByRange(tasks, "lead", "t", "h").sortWithinPartitions("lead", "t", "h")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans of the groups that lie in this task whole; rows of the first and the last, which others may share."""
-        held = None
+        held: list[tuple] = []
         first = True
-        for g in by_group(batches, "t"):
-            if held is not None:
-                yield rows_of(held) if first else spans_of(held, width)
-                first = False
-            held = g
-        if held is not None:
-            yield rows_of(held)
-
-    found = store.put(sorted_segs.mapInPandas(compare, ", ".join(f"{c} {v}" for c, v in (SEGMENT | SPAN).items())))
+        names = list(SEGMENT)
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in names), strict=True))
+            t = b.column("t").to_numpy()
+            cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+            out: list[tuple] = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and x < y and held[-1][1] != rows[x][1]:
+                    out += [(*r, None, None) for r in held] if first else spans_of(held, width)
+                    first, held = False, []
+                held += rows[x:y]
+            yield spans_batch(out)
+        yield spans_batch([(*r, None, None) for r in held])
+
+    found = store.put(sorted_segs.mapInArrow(compare, ", ".join(f"{c} {v}" for c, v in (SEGMENT | SPAN).items())))
     spans = found.where("start is not null").select("k1", "k2", "start", "end")
 
     # 3. across boundaries
@@ -255,15 +260,26 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     some = windows.join(equal, ["w1", "w2"]).groupBy("f1", "f2").agg(F.collect_set("i").alias("hits"))  # RUN at most
     whole = full.select("f1", "f2", (F.col("n") > 1).alias("twice")).distinct()
     marked = runs.join(whole, ["f1", "f2"]).join(some, ["f1", "f2"], "left").where("twice or hits is not null")
-    each = F.when(F.col("twice"), F.sequence(F.lit(0), F.col("hi") - F.col("lo"))).otherwise(F.col("hits"))
-    more = marked.select("k1", "k2", F.explode("at").alias("a"), each.alias("hits")).select("k1", "k2", F.explode(F.transform("hits", lambda i: F.col("a") + i)).alias("start"))
-    spans = spans.unionAll(more.select("k1", "k2", "start", (F.col("start") + width).alias("end")))
 
-    lost = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for at, size, twice, hits in zip(b["at"], b["size"], b["twice"], b["hits"], strict=True):
+                flags = np.zeros(size + 1, bool)
+                flags[:] = twice
+                if not twice:
+                    flags[np.asarray(hits)] = True
+                out.append([{"start": int(a) + x, "end": int(a) + y + width} for a in at for x, y in runs_of(flags)])
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "spans": out})
+
+    ranges = "array<struct<start:int,end:int>>"
+    more = marked.select("k1", "k2", "at", (F.col("hi") - F.col("lo")).alias("size"), "twice", "hits").mapInPandas(places, f"k1 long, k2 long, spans {ranges}")
+    here = spans.select("k1", "k2", F.array(F.struct("start", "end")).alias("spans"))
+    lost = here.unionAll(more).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in chunks(batches):
             out = []
             for k1, k2, text, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k1, k2) in seen:
@@ -287,17 +303,24 @@ SEGMENT = {"lead": "long", "t": "long", "h": "long", "left": "int", "windows": "
 SPAN = {"start": "int", "end": "int"}
 
 
-def rows_of(g: pd.DataFrame) -> pd.DataFrame:
-    return g.assign(start=pd.array([None] * len(g), "Int32"), end=pd.array([None] * len(g), "Int32"))
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of SEGMENT and SPAN as a batch."""
+    names = SEGMENT | SPAN
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(columns, names.values(), strict=True)], list(names))
 
 
-def spans_of(g: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Removed spans of a group of segments with one anchor."""
-    out: dict[str, list] = {c: [] for c in ("k1", "k2", "start", "end")}
+def spans_of(rows: list[tuple], width: int) -> list[tuple]:
+    """Removed spans, as rows of SEGMENT and SPAN, of a group of segments (rows of SEGMENT) with one anchor."""
+    if len(rows) == 1 and len(rows[0][8]) == 1:
+        return []
     which: dict[tuple[int, bytes], int] = {}
     of, times = [], []
     parts: list[tuple[bytes, bytes, int, int]] = []
-    for left, windows, seg, los in zip(g["left"].tolist(), g["windows"].tolist(), g["seg"], g["los"], strict=True):
+    for _, _, _, left, windows, seg, _, _, los in rows:
         i = which.setdefault((left, seg), len(parts))
         if i == len(parts):
             parts.append((seg[:left][::-1], seg[left:], left - windows, left))
@@ -306,13 +329,7 @@ def spans_of(g: pd.DataFrame, width: int) -> pd.DataFrame:
         times[i] += len(los)
     flags = repeated(parts, width) if len(parts) > 1 else [np.zeros(parts[0][3] - parts[0][2] + 1, bool)]
     hits = [[(0, len(f) - 1)] if t > 1 else runs_of(f[::-1]) for f, t in zip(flags, times, strict=True)]  # by window, the largest offset first
-    for i, k1, k2, los in zip(of, g["k1"].tolist(), g["k2"].tolist(), g["los"], strict=True):
-        for lo in los:
-            for a, b in hits[i]:
-                for c, v in (("k1", k1), ("k2", k2), ("start", int(lo) + a), ("end", int(lo) + b + width)):
-                    out[c].append(v)
-    done = pd.DataFrame(out)
-    return done.reindex(columns=[*SEGMENT, *SPAN]).astype({"lead": "Int64", "t": "Int64", "h": "Int64", "left": "Int32", "windows": "Int32", "start": "Int32", "end": "Int32", "k1": "int64", "k2": "int64"}).astype({"seg": object, "los": object}).where(lambda d: d.notna(), None)
+    return [(None, None, None, None, None, None, r[6], r[7], None, lo + a, lo + b + width) for i, r in zip(of, rows, strict=True) for lo in r[8] for a, b in hits[i]]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
