@@ -26,7 +26,7 @@ def detected(c: Column, default: str = "en", sample: int | None = None) -> Colum
     n = F.greatest(F.size(words), F.lit(1))
     scores = {}
     for lang, stop in WORDS.items():
-        hits = F.size(F.filter(words, lambda w, s=stop: w.isin(*s))) / n
+        hits = F.size(F.array_compact(F.transform(words, _kept(stop)))) / n
         letters = F.length(F.regexp_replace(low, f"[^{LETTERS[lang]}]", "")) / F.greatest(F.length(low), F.lit(1)) * 5 if lang in LETTERS else F.lit(0.0)
         scores[lang] = hits + letters
     best = F.greatest(*scores.values())
@@ -36,6 +36,10 @@ def detected(c: Column, default: str = "en", sample: int | None = None) -> Colum
     return out
 
 
+def _kept(words: tuple[str, ...]):
+    return lambda w: F.when(w.isin(*words), w)
+
+
 def mapped(code: Column, names: dict[str, str]) -> Column:
     """Another name of a language code where there is one."""
     m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])

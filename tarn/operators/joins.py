@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.rows import per_row
+
 
 def longest_prefix(rows: DataFrame, url: str, sites: DataFrame, prefix: str, value: str, separators: str = "/") -> DataFrame:
     """The site with the longest stored URL that prefixes each row's URL, as an equi-join on the URL's own prefixes.
@@ -15,10 +17,9 @@ def longest_prefix(rows: DataFrame, url: str, sites: DataFrame, prefix: str, val
     """
     parts = F.split(F.col(url), f"(?<=[{separators}])")
     candidates = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "")), F.array(url)))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.select("_row", F.explode(candidates).alias(prefix)).join(sites.select(prefix, value), prefix)
-    best = hit.groupBy("_row").agg(F.max_by(value, F.struct(F.length(prefix), F.col(value))).alias(value))
-    return keyed.join(best, "_row", "left").drop("_row")
+    known = sites.select(F.col(prefix).alias("_prefix"), F.col(value).alias("_value"))
+    best = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(F.length("_prefix"), F.col("_value"))))
+    return per_row(rows, lambda keyed: keyed.withColumn("_prefix", F.explode(candidates)).join(known, "_prefix", "left"), **{value: best})
 
 
 def with_lists(rows: DataFrame, key: str, many: DataFrame, name: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:

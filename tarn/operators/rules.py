@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.rows import per_row
 from tarn.schemas import FILTER_OP
 
 
@@ -50,12 +51,10 @@ def decided(rows: DataFrame, key: str, rules: DataFrame, subject: Column, stage:
     One scan with the rules broadcast; a row keeps its place when no rule is about it.
     """
     mine = F.broadcast(rules.where(F.col("stage") == stage).select(*on, "op_code", "pattern", "action"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    both = keyed.join(mine, list(on), "left") if on else keyed.join(mine, F.lit(True), "left")
-    hit = F.coalesce(matched(subject, F.col("op_code"), F.col("pattern")), F.lit(False))
-    rest = [F.first(c).alias(c) for c in rows.columns]
-    out = both.groupBy("_row").agg(*rest, F.bool_or(hit & (F.col("action") == 1)).alias("_in"), F.bool_or(hit & (F.col("action") == -1)).alias("_out"))
-    return out.select(*rows.columns, ((F.lit(default) | F.coalesce("_in", F.lit(False))) & ~F.coalesce("_out", F.lit(False))).alias("passes"))
+    mine = mine.select(*on, *[F.col(c).alias(f"_{c}") for c in ("op_code", "pattern", "action")])
+    hit = matched(subject, F.col("_op_code"), F.col("_pattern"))
+    some = lambda action: F.coalesce(F.bool_or(hit & (F.col("_action") == action)), F.lit(False))
+    return per_row(rows, lambda keyed: keyed.join(mine, list(on) or F.lit(True), "left"), passes=(F.lit(default) | some(1)) & ~some(-1))
 
 
 def date_macros(c: Column, now: Column) -> Column:
