@@ -75,7 +75,7 @@ def j9(spark, d):
     return out.select("doc_id", F.coalesce(F.array_max("attributes")["quality"], F.lit(-1)).alias("quality"), F.size("attributes").cast("long").alias("n"))
 
 
-@query("j10_nested_site", "SELECT n_nationkey, list_sort(list_distinct(list(s_suppkey) FILTER (s_suppkey IS NOT NULL))) AS proxies, count(DISTINCT c_custkey) AS sites FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query("j10_nested_site", "SELECT n_nationkey, coalesce(list_sort(list_distinct(list(s_suppkey) FILTER (s_suppkey IS NOT NULL))), []) AS proxies, count(DISTINCT c_custkey) AS sites FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def j10(spark, d):
     n = table(spark, d, "nation").select("n_nationkey")
     n = J.with_lists(n, "n_nationkey", table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "p", ["s_suppkey"], ["s_suppkey"])
