@@ -6,7 +6,8 @@ of bounded length; it steers cost only), the others by hash. Documents with equa
 1. Prefix filter: linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each. These (shingle, class) rows are
    range-partitioned by both, so a shingle that many classes share is dealt over many tasks.
 2. A shingle's classes are tied to one of them, its centre, if the bound on their overlap that the two prefixes give
-   allows a link. Connected ties are clusters; whoever shares a prefix shingle across clusters is compared by prefixes.
+   allows a link. Connected ties are clusters; classes that share a prefix shingle across clusters are compared by
+   prefixes, and a spanning forest of those that may link joins their clusters.
 3. A cluster's whole sets are stored in a trie in the global order, and each set descends it: what paths share is counted
    once, and a subtree ends where the overlap so far and the remaining lengths can't reach the link.
    Sets that are already tied need no more comparison. Large clusters are dealt as pairs of blocks of bounded size.
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Staged, fold64
+from tarn.llm.common import Staged, chunks, fold64
 from tarn.llm.graph import components
 
 HOT_BIT = np.int64(1) << np.int64(62)
 CACHE = 1 << 18
+MANY = 100_000  # rows of a shingle that wait for its last
+PAIRED = 1000  # rows of a shingle that are held against each other
 #: Fixed odd multipliers, one for each word of a shingle.
 PLACES = fold64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -94,6 +97,66 @@ def may_link(p: np.ndarray, n: int, q: np.ndarray, m: int) -> bool:
     return shared + min(n - i, m - j) >= least_overlap(n, m)
 
 
+def possible_forest(prefixes: list[np.ndarray], n: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of labels, a spanning forest of those that hold sets which ``may_link``.
+
+    A set's shared shingles with all others come from the lists of its shingles' sets; what is connected already is not looked at.
+    """
+    names, mine = np.unique(label, return_inverse=True)
+    _, token, times = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    length = np.array([len(p) for p in prefixes])
+    owner = np.repeat(np.arange(len(prefixes)), length)
+    holders, first = owner[np.argsort(token, kind="stable")], np.r_[0, np.cumsum(times)[:-1]]
+    ends = np.array([p[-1] for p in prefixes])
+    by_end = np.argsort(ends)
+    at = np.r_[0, np.cumsum(length)]
+    out: list[tuple[int, int]] = []
+    for i, p in enumerate(prefixes):
+        if len(out) == len(names) - 1:
+            break
+        has = token[at[i] : at[i + 1]]
+        has = has[times[has] > 1]
+        shared = np.bincount(holders[spans(first[has], times[has])], minlength=len(prefixes))
+        near = np.flatnonzero((shared > 0) & (mine != mine[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
+        if not len(near):
+            continue
+        known = np.empty(len(prefixes), np.int64)  # of i, up to the other's end
+        known[by_end] = np.searchsorted(p, ends[by_end], "right")
+        for j in near.tolist():
+            if mine[j] == mine[i]:
+                continue
+            other = int(np.searchsorted(prefixes[j], ends[i], "right"))
+            if shared[j] + min(n[i] - known[j], n[j] - other) >= least_overlap(n[i], n[j]):
+                out.append((int(label[i]), int(label[j])))
+                mine[mine == mine[j]] = mine[i]
+    return out
+
+
+def may_meet(t: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rows (sorted by shingle) of sets that may link with another set of the shingle, if it is the first that both have: of either set no more than it and what follows is shared."""
+    keep = np.zeros(len(t), bool)
+    if not len(t):
+        return keep
+    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    size = np.diff(np.r_[start, len(t)])
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = n[i], n[j]
+        return (np.minimum(a - pos[i], b - pos[j]) >= least_overlap(a, b)) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+
+    two = start[size == 2]
+    keep[two] = keep[two + 1] = fits(two, two + 1)
+    for x, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        if k > PAIRED:
+            keep[x : x + k] = True
+        else:
+            i = np.arange(x, x + k)
+            ok = fits(i[:, None], i[None, :])
+            np.fill_diagonal(ok, False)
+            keep[i] = ok.any(1)
+    return keep
+
+
 class Trie:
     """A radix tree over sorted sequences, nodes in breadth-first order."""
 
@@ -225,7 +288,7 @@ def frequent(docs: DataFrame, size: int, share: int, least: int, most: int) -> n
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in chunks(batches):
             found = [shingles(t, words, size) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["t"])
 
@@ -247,69 +310,55 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = spark.sparkContext.broadcast(frequent(docs, size, frequent_share, frequent_least, frequent_most))  # frequent_most numbers at most
     id_type = docs.schema["id"].dataType.simpleString()
 
-    def sets(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Set ids and sizes, and the prefix with the first of equal sets of a task."""
         words, seen = Words(), set()
-        for b in batches:
+        for b in chunks(batches):
             ids, ns, seqs = [], [], []
-            for text in b.column(1).to_pylist():
-                t = shingles(text or "", words, size)
+            for text in b.column(1):
+                t = shingles(text.as_py() or "", words, size)
                 s = set_id(t)
                 ids.append(s), ns.append(len(t))
-                new = len(t) and s not in seen
+                seqs.append(ordered(t, hot.value)[: prefix_length(len(t))].copy() if len(t) and s not in seen else None)
                 seen.add(s)
-                seqs.append((ordered(t, hot.value)[: None if whole else prefix_length(len(t))]) if new else None)
-            lists = pa.array([None if x is None else x for x in seqs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], ["id", "s", "n", "seq"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(seqs, pa.list_(pa.int64()))], ["id", "s", "n", "seq"])
 
-    schema = f"id {id_type}, s long, n long, seq array<long>"
-    signed = store.put(docs.mapInArrow(lambda b: sets(b, False), schema))  # the prefix stands with the first of equal sets of a task
+    signed = store.put(docs.mapInArrow(signatures, f"id {id_type}, s long, n long, seq array<long>"))
     prefixes = signed.where("seq is not null").select("s", "n", "seq")
 
-    # 1. rows of shared shingles
-    rows = prefixes.select(F.explode("seq").alias("t"), "s")
-
+    # 1. rows of shared shingles; size and place of the shingle in one number
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with another class of the same shingle beside them; the first and the last of a task too, whose neighbours are elsewhere."""
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        """Rows that may link at their shingle with another of its rows; all rows of the first and the last shingle of a task, which others may hold too."""
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        whole: int | None = None  # the shingle whose rows are all kept
         first = True
-
-        def out(t: np.ndarray, s: np.ndarray, last: bool) -> pa.RecordBatch:
-            same = t[1:] == t[:-1]
-            keep = np.r_[first, same] | np.r_[same, last]
-            return pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep])], ["t", "s"])
-
         for b in batches:
-            t, s = np.r_[held[0], b.column(0).to_numpy()], np.r_[held[1], b.column(1).to_numpy()]
+            t, s, at = (np.r_[h, c.to_numpy()] for h, c in zip(held, b.columns, strict=True))
             new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])] if len(t) else np.zeros(0, bool)
-            t, s = t[new], s[new]
-            if len(t) < 3:
-                held = (t, s)
-                continue
-            cut = len(t) - 1 if t[-1] != t[-2] else int(np.searchsorted(t, t[-1]))  # the last shingle's rows wait
-            if cut < 1 or len(t) - cut > 100_000:
-                cut = len(t) - 2
-            # the row before the cut is complete; the rows from it on wait with what comes next
-            part = pa.RecordBatch.from_arrays([pa.array(t[:cut]), pa.array(s[:cut])], ["t", "s"])
-            same = t[1:] == t[:-1]
-            keep = (np.r_[first, same] | np.r_[same, False])[:cut]
-            yield part.filter(pa.array(keep))
-            first = False if t[cut] != t[cut - 1] else True
-            held = (t[cut:], s[cut:])
-        if len(held[0]):
-            yield out(*held, True)
+            t, s, at = t[new], s[new], at[new]
+            if first and len(t):
+                whole, first = int(t[0]), False
+            cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
+            if len(t) - cut > MANY:  # a very frequent shingle: nothing waits
+                whole, cut = int(t[-1]), len(t)
+            keep = may_meet(t[:cut], at[:cut] >> 32, at[:cut] & 0xFFFFFFFF)
+            if whole is not None:
+                keep |= t[:cut] == whole
+            yield pa.RecordBatch.from_arrays([pa.array(x[:cut][keep]) for x in (t, s, at)], ["t", "s", "at"])
+            held = [t[cut:], s[cut:], at[cut:]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["t", "s", "at"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = rows.repartitionByRange(tasks, "t", "s").sortWithinPartitions("t", "s").mapInArrow(neighbours, "t long, s long")
-    near = store.put(near)
-    counted = near.distinct().groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    shared = store.put(near.distinct().join(counted, "t"))
-
-    # 2. ties to the centre of each shingle: the class in whose prefix it comes first, then the smaller set
-    heads = store.put(prefixes.join(shared.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("seq").alias("seq")))
-    placed = shared.join(heads.select("s", "n", F.posexplode("seq").alias("pos", "t")), ["s", "t"]).select("t", "s", "n", "pos")
-    placed = store.put(placed)
-    centre = placed.groupBy("t").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("p"), "n", "s")).alias("c")).select("t", F.col("c.s").alias("b"), F.col("c.n").alias("m"))
-    tie = placed.join(centre, "t").where("s <> b and 5 * least(n, m) >= 4 * greatest(n, m)").select(F.col("s").alias("a"), "b").distinct()
+    rows = prefixes.select(F.posexplode("seq").alias("pos", "t"), "s", "n").select("t", "s", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("at"))
+    near = rows.repartitionByRange(tasks, "t", "s").sortWithinPartitions("t", "s").mapInArrow(neighbours, "t long, s long, at long")
+    near = store.put(near.select("t", "s", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")))
+    store.release()
+
+    # 2. ties to the centre of each shingle: the class with the smallest id, so that alike classes get few centres
+    heads = store.put(prefixes.join(near.select("s").distinct().hint("merge"), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("seq").alias("seq")))
+    centre = near.groupBy("t").agg(F.min(F.struct("s", "n", "pos")).alias("c")).select("t", F.col("c.s").alias("b"), F.col("c.n").alias("m"), F.col("c.pos").alias("mpos"))
+    reach = "least(n - pos, m - mpos) >= ceil(4 * (n + m) / 9) and 5 * least(n, m) >= 4 * greatest(n, m)"
+    tie = near.join(centre, "t").where(f"s <> b and {reach}").select(F.col("s").alias("a"), "b").distinct()
 
     @F.pandas_udf("boolean")
     def linkable(p: pd.Series, n: pd.Series, q: pd.Series, m: pd.Series) -> pd.Series:
@@ -317,37 +366,50 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     left, right = heads.toDF("a", "an", "ap"), heads.toDF("b", "bn", "bp")
     ties = store.put(tie.join(left, "a").join(right, "b").where(linkable("ap", "an", "bp", "bn")).select("a", "b"))
+    store.release()
     cluster = store.put(components(ties, store).select(F.col("node").alias("s"), F.col("label").alias("g")))
 
-    # shingles across clusters: one of those with the same classes, whose prefixes are compared in a trie's manner
-    of = placed.join(cluster, "s", "left").withColumn("g", F.coalesce("g", "s"))
-    crossing = of.groupBy("t").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.sum(F.xxhash64("s").cast("decimal(20,0)")).alias("sum"), F.count("*").alias("c"))
-    crossing = crossing.where("x <> y").groupBy("sum", "c").agg(F.min("t").alias("t")).select("t")
-    meet = store.put(of.join(crossing, "t").select("t", "s", "g", "n"))
-    compared = dealt(meet.select(F.col("t").alias("k"), "s", "g", "n"), block_tokens // 5).join(heads.select("s", "seq"), "s")
+    # shingles across clusters: those whose smallest class is one are one group, as a passage's shingles have nearly the same classes
+    of = near.join(cluster, "s", "left").withColumn("g", F.coalesce("g", "s"))
+    crossing = of.groupBy("t").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.min("s").alias("k")).where("x <> y").select("t", "k")
+    meet = store.put(of.join(crossing, "t").select("k", "s", "g", "n").distinct())
+    compared = dealt(meet, block_tokens // 8).join(heads.select("s", "seq"), "s")
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_group(batches, "task"):
-            g = g.sort_values(["n", "s"]).drop_duplicates("s")
-            s, c, n, p = g["s"].to_numpy(), g["g"].to_numpy(), g["n"].to_numpy(), [np.asarray(x) for x in g["seq"]]
-            found = []
-            for i in range(len(s)):
-                stop = int(np.searchsorted(n, n[i] * 5 // 4, "right"))
-                found += [(s[i], s[j]) for j in range(i + 1, stop) if c[i] != c[j] and may_link(p[i], n[i], p[j], n[j])]
+            g = g.drop_duplicates("s")
+            found = possible_forest([np.asarray(x) for x in g["seq"]], g["n"].to_numpy(), g["g"].to_numpy())
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    pairs = compared.repartition("task").sortWithinPartitions("task").select("task", "s", "g", "n", "seq").mapInPandas(cross, "a long, b long")
-    pairs = store.put(pairs.distinct())
+    bridges = store.put(compared.repartition("task").sortWithinPartitions("task").select("task", "s", "g", "n", "seq").mapInPandas(cross, "a long, b long"))
+    store.release()
+    joined = components(bridges, store).select(F.col("node").alias("g"), F.col("label").alias("k"))
 
-    # 3. whole sets of clusters, and of pairs across them, in tries
-    members = cluster.select(F.col("g").alias("k"), "s").unionAll(pairs.select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("s"))).distinct()
-    asked = members.select("s").distinct()
-    whose = signed.where("seq is not null").join(asked, "s", "left_semi").groupBy("s").agg(F.min(F.struct("id")).alias("w")).select("w.id").distinct()
-    again = docs.join(whose.withColumnRenamed("id", "w"), F.col("id").eqNullSafe(F.col("w")), "left_semi")
-    whole = again.mapInArrow(lambda b: sets(b, True), schema).where("seq is not null").select("s", "n", "seq")
+    # 3. whole sets of clusters, with those that bridges join as one, in tries
+    alone = joined.select(F.col("g").alias("s"), "g").join(cluster.select("s"), "s", "left_anti")  # a class that no tie has is its own cluster
+    members = cluster.unionByName(alone).join(joined, "g", "left").select(F.coalesce("k", "g").alias("k"), "s")
     sized = members.join(heads.select("s", "n"), "s").withColumn("g", F.lit(0).cast("long")).select("k", "s", "g", "n")
-    full = dealt(sized, block_tokens).select("task", "s").join(whole.select("s", "seq"), "s")
+    at = dealt(sized, block_tokens).groupBy("s").agg(F.collect_set("task").alias("tasks"))  # one task, but for sets of large clusters and of pairs
+    whose = signed.where("seq is not null").select("s", "id").join(at, "s").groupBy("s").agg(F.min(F.struct("id")).alias("w"), F.first("tasks").alias("tasks"))
+    whose = store.put(whose.select("w.id", "s", "tasks").groupBy("id").agg(F.collect_list(F.struct("s", "tasks")).alias("asked")))
+    # by merge at every size: a plan that changes with the size would not show here what it costs there
+    again = docs.join(whose.withColumnRenamed("id", "w").hint("merge"), F.col("id").eqNullSafe(F.col("w"))).select("text", "asked")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = Words(), set()
+        for b in chunks(batches, 64):
+            out: list[list] = [[], [], []]
+            for text, asked in zip(b.column(0), b.column(1), strict=True):
+                t = shingles(text.as_py() or "", words, size)
+                s = set_id(t)
+                for x in asked.as_py():
+                    if x["s"] == s and s not in seen:
+                        seen.add(s)
+                        seq = ordered(t, hot.value)
+                        for task in x["tasks"]:
+                            out[0].append(task), out[1].append(s), out[2].append(seq)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["task", "s", "seq"])
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in by_group(batches, "task"):
@@ -356,7 +418,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    links = store.put(full.repartition("task").sortWithinPartitions("task").select("task", "s", "seq").mapInPandas(link, "a long, b long"))
+    full = again.mapInArrow(whole, "task long, s long, seq array<long>")
+    links = store.put(full.repartition("task").sortWithinPartitions("task").mapInPandas(link, "a long, b long"))
+    store.release()
     group = components(links, store)
     out = signed.select("id", "s", "n").join(group.select(F.col("node").alias("s"), F.col("label").alias("g")), "s", "left").withColumn("g", F.coalesce("g", "s"))
     out = store.put(out)
