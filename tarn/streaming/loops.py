@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from tarn.lineage import checkpoint_dir
+
 
 def operation_counters(log: DataFrame, site: str, op: str, ts: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Operations by site and time window; rows later than the watermark are dropped."""
@@ -57,37 +60,39 @@ def limited(requests: DataFrame, key: str, ts: str, gap: float) -> DataFrame:
 
 
 class Queue(StatefulProcessor):
-    """Tasks by id: a finished one is reported at once, one that is silent for ``ttl_ms`` as expired."""
+    """Tasks by id: a finished one is reported at once, one without an update for ``ttl_ms`` of event time as expired."""
 
-    def __init__(self, key: str, state: str, done: str, ttl_ms: int):
-        self.key, self.state, self.done, self.ttl_ms = key, state, done, ttl_ms
+    def __init__(self, state: str, ts: str, done: str, ttl_ms: int):
+        self.state, self.ts, self.done, self.ttl_ms = state, ts, done, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "due long")
+        self.due = handle.getValueState("due", "due long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        finished = any((b[self.state] == self.done).any() for b in rows)
-        if self.seen.exists():
-            self.handle.deleteTimer(self.seen.get()[0])
-        if finished:
-            self.seen.clear()
+        every = pd.concat(list(rows))
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        if (every[self.state] == self.done).any():
+            self.due.clear()
             yield pd.DataFrame({"id": [str(key[0])], "outcome": ["finished"]})
         else:
-            due = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
+            due = int(every[self.ts].max().timestamp() * 1000) + self.ttl_ms
             self.handle.registerTimer(due)
-            self.seen.update((due,))
+            self.due.update((due,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        self.due.clear()
         yield pd.DataFrame({"id": [str(key[0])], "outcome": ["expired"]})
 
     def close(self) -> None:
         pass
 
 
-def task_outcomes(updates: DataFrame, key: str, state: str, done: str, ttl_ms: int) -> DataFrame:
-    return updates.groupBy(key).transformWithStateInPandas(statefulProcessor=Queue(key, state, done, ttl_ms), outputStructType="id string, outcome string", outputMode="Append", timeMode="ProcessingTime")
+def task_outcomes(updates: DataFrame, key: str, state: str, ts: str, done: str, ttl_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(id, outcome) of tasks; needs the RocksDB state store."""
+    df = updates.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=Queue(state, ts, done, ttl_ms), outputStructType="id string, outcome string", outputMode="Append", timeMode="EventTime")
 
 
 def every(trigger_rows: DataFrame, period: str | None, checkpoint: str, step: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -96,8 +101,13 @@ def every(trigger_rows: DataFrame, period: str | None, checkpoint: str, step: Ca
     return w.trigger(processingTime=period) if period else w.trigger(availableNow=True)
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there, as a table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there, as a table under the shared folder."""
+    root = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        # a batch that is repeated after a failure replaces what it wrote
+        rows.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={batch}")
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
