@@ -16,19 +16,31 @@ from dataclasses import dataclass
 import numpy as np
 
 TOKEN = re.compile(r"\S+")
-BUCKETS = 2048  # of own features
+BUCKETS = 1 << 14  # of own features
 CLASSES = 10
 EDGE, WORD, KEY, SIGN, FEW, LONG, AT, PUNCT, PLUS, BRACKET = range(CLASSES)
 FILES = 4
 #: Weight rows: own buckets, class before, class after, file bucket, and one of zeros for padding.
 BEFORE, AFTER, FILE, NONE = BUCKETS, BUCKETS + CLASSES, BUCKETS + 2 * CLASSES, BUCKETS + 2 * CLASSES + FILES
 ROWS = NONE + 1
-PRIOR = 8.0
+PRIOR = 12.0
 MOST = 9  # own features of a token
 
 #: Words that announce a secret.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "private")
 
+#: What sets a token apart from plain words and marks; see token_class.
+SPECIAL_CHARS = "0123456789@=:"
+
+
+def special(text: str) -> bool:
+    """Whether a text may hold a token that is no plain word or mark."""
+    if any(c in text for c in SPECIAL_CHARS):
+        return True
+    low = text.lower()
+    return any(k in low for k in KEYWORDS)
+
+
 _RUNS = re.compile(r"(.)\1+")
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zà-öø-ÿ]"), re.compile(r"[a-zà-öø-ÿ]"), re.compile(r"[0-9]")
 
@@ -56,9 +68,9 @@ def describe(token: str) -> tuple[list[int], int]:
     digits = sum(c in "0123456789" for c in token)
     kind = token_class(token, digits)
     n = len(token)
-    names = [f"k{kind}", f"d{min(digits, 24) // 2}", f"m{min(9, digits * 10 // n)}"]
-    if digits or kind in (AT, SIGN, KEY):
-        names.append(f"n{min(n, 48) // 4}")
+    names = [f"k{kind}"]
+    if kind not in (WORD, PUNCT):
+        names += [f"d{min(digits, 24) // 2}", f"m{min(9, digits * 10 // n)}", f"n{min(n, 48) // 4}"]
         names.append("s" + shape(token))
         names.append(f"h{all(c in '0123456789abcdef' for c in token.strip(chr(34) + chr(39)))}{n >= 16}")
         names.append("p" + re.sub("[0-9]", "9", token[:4]))
@@ -116,13 +128,14 @@ def fit(tokens: list[list[str]], labels: list[list[int]], kinds: int, radius: in
         emit = rows[x].sum(2)
         node, pair = marginals(emit, trans)
         d = (seen - node).reshape(n * width, kinds)
-        g = np.stack([np.bincount(flat.ravel(), np.repeat(d[:, k], flat.shape[1]), ROWS) for k in range(kinds)], 1) / n - 1e-5 * rows
+        g = np.stack([np.bincount(flat.ravel(), np.repeat(d[:, k], flat.shape[1]), ROWS) for k in range(kinds)], 1) / n
         g[NONE] = 0
         gt = (np.einsum("nti,ntj->ij", seen[:, :-1], seen[:, 1:]) - pair) / n
         for p, gr, a, b in zip(params, (g, gt), m, v, strict=True):
             a += 0.1 * (gr - a)
             b += 0.01 * (gr * gr - b)
             p += 0.2 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        rows *= 1 - 1e-4
         np.clip(trans, -bound, bound, out=trans)
         np.clip(rows[BEFORE:NONE], -bound, bound, out=rows[BEFORE:NONE])
     rows -= rows[:, :1]  # only differences count
@@ -177,6 +190,13 @@ class Table(dict):
         gain = lambda a: (a[:, 1:].max(1) - a[:, 0]).max()
         swing = w.trans.max() - w.trans.min()
         self.margin = 2 * swing + sum(max(0.0, gain(w.rows[a:b])) for a, b in ((BEFORE, AFTER), (AFTER, FILE), (FILE, NONE)))
+        self.plain = {}
+        for kind, token in ((WORD, "a"), (PUNCT, "-")):
+            own, found = describe(token)
+            e = self.w.rows[own].sum(0)
+            self.plain[kind] = (e, self.always(found) or e[1:].max() - e[0] >= -self.margin)
+        #: Texts without special tokens have nothing to decode.
+        self.skips = not any(is_open for _, is_open in self.plain.values())
         self._fresh()
 
     def _fresh(self) -> None:
@@ -192,10 +212,14 @@ class Table(dict):
         i = len(self)
         if i == len(self.kind):
             self.emit, self.kind, self.open = np.r_[self.emit, np.zeros_like(self.emit)], np.r_[self.kind, np.zeros_like(self.kind)], np.r_[self.open, np.zeros_like(self.open)]
-        own, kind = describe(token)
-        e = self.w.rows[own].sum(0)
-        self.emit[i], self.kind[i] = e, kind
-        self.open[i] = self.always(kind) or e[1:].max() - e[0] >= -self.margin
+        if special(token):
+            own, kind = describe(token)
+            e = self.w.rows[own].sum(0)
+            is_open = self.always(kind) or e[1:].max() - e[0] >= -self.margin
+        else:  # all plain tokens of a class are described alike
+            kind = WORD if token[0].isalpha() or any(c.isalpha() for c in token) else PUNCT
+            e, is_open = self.plain[kind]
+        self.emit[i], self.kind[i], self.open[i] = e, kind, is_open
         self[token] = i
         return i
 

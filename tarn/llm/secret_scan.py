@@ -22,7 +22,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A run that is too short is no match, and what is left of it is shorter still, so the least length can stand in the pattern.
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
-KEYWORD = re.compile("password|passwd|secret|token|api_?key")
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Hexadecimal bytes to 0, others to a space: where 16 zeros stand together there is a match.
+HEX_BYTES = bytes(48 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+HEX_RUN = b"0" * 16
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TRIM = "\"'`,;:=()[]{}<>"
 
@@ -30,11 +33,13 @@ TRIM = "\"'`,;:=()[]{}<>"
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the base patterns, in code points, by start and kind."""
     out = []
-    if KEYWORD.search(text.lower()):
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
         out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
-    out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    if HEX_RUN in text.encode("utf-8", "surrogatepass").translate(HEX_BYTES):
+        out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
@@ -52,24 +57,27 @@ def labelled(text: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
-def sample_texts(docs: DataFrame, hint: str, rows: int) -> list[str]:
+def sample_texts(docs: DataFrame, hint: F.Column, rows: int) -> list[str]:
     """At most ``rows`` texts, half of them with the hint: those with the smallest hashes, at most 20,000 characters each."""
     texts = docs.select(F.substring("text", 1, 20000).alias("text"), F.xxhash64("text").alias("h")).where("text is not null")
     some = texts.orderBy("h").limit(rows // 2)
-    likely = texts.where(F.col("text").rlike(hint)).orderBy("h").limit(rows // 2)
+    likely = texts.where(hint).orderBy("h").limit(rows // 2)
     return [r["text"] for r in likely.unionAll(some).collect()]
 
 
 def train(docs: DataFrame, rows: int = 1200) -> crf.Weights:
     """Weights from at most ``rows`` texts; a bounded sample for training only."""
-    got = [labelled(t) for t in sample_texts(docs, r"AKIA|[0-9a-f]{16}|(password|secret|token)\W", rows)]
+    text = F.col("text")
+    hint = text.contains("AKIA") | text.contains("password") | text.contains("secret") | text.contains("token") | text.rlike("[0-9][0-9a-f]{15}")
+    got = [labelled(t) for t in sample_texts(docs, hint, rows)]
     return crf.fit([t for t, _ in got], [g for _, g in got], 3)
 
 
 def added_spans(text: str, table: crf.Table, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the field finds and that touch no base span."""
-    words = text.split()
-    ids = table.ids(words)
+    if table.skips and not crf.special(text):
+        return []
+    ids = table.ids(text.split())
     at = table.open[ids].nonzero()[0]
     if not len(at):
         return []
