@@ -10,6 +10,7 @@ from tarn.llm.ann import op2_nearest
 from tarn.llm.decontam import op8_decontam
 from tarn.llm.fixity import OP9_SQL, op9_fixity
 from tarn.llm.jaccard import op7_jaccard
+from tarn.llm.oracles import OP7_SQL
 from tarn.llm.packing import op1_packing
 from tarn.llm.pii import op6_personal
 from tarn.llm.secret_scan import op5_secrets
@@ -26,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Only where plain SQL on whole tables expresses the rows."""
-    return {"op9_fixity": OP9_SQL}
+    return {"op7_jaccard": OP7_SQL, "op9_fixity": OP9_SQL}
