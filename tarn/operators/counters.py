@@ -63,3 +63,14 @@ def link_frequency(pages: DataFrame, page: str, links: str) -> DataFrame:
 def integrity(items: DataFrame, key: str, host: str) -> DataFrame:
     """How many items stand on how many hosts."""
     return items.groupBy(key).agg(F.count_distinct(host).alias("hosts")).groupBy("hosts").agg(F.count("*").alias("items"))
+
+
+def stat_fields(ops: DataFrame, keys: Sequence[str], order: str, op: str, value: str) -> DataFrame:
+    """Named counters after a run of INIT, SET, ADD and SUB operations: what the last INIT (0) or SET left, and the sums since.
+
+    Two aggregations with partial results instead of a walk in order.
+    """
+    last = ops.where(F.col(op).isin("INIT", "SET")).groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("at"), F.when(F.col(op) == "SET", F.col(value)).otherwise(0).alias("v"))).alias("_l"))
+    signed = F.when(F.col(op) == "ADD", F.col(value)).when(F.col(op) == "SUB", -F.col(value)).otherwise(0)
+    since = ops.join(last, list(keys), "left").where(F.col("_l").isNull() | (F.col(order) >= F.col("_l.at")))
+    return since.groupBy(*keys).agg((F.coalesce(F.max("_l")["v"], F.lit(0)) + F.sum(signed)).alias("value"))

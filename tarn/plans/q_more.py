@@ -267,3 +267,19 @@ def r3c(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     return G.drained(G.limited(stream.select("event_id", "user_id", "ts"), "user_id", "ts", 3600.0))
+
+
+@query("a13_stat_fields", "WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'purchase' THEN 'SET' WHEN 'click' THEN 'SUB' ELSE 'ADD' END AS op, CAST(round(value) AS BIGINT) AS v FROM events), l AS (SELECT user_id, max(event_id) AS last FROM o WHERE op IN ('INIT', 'SET') GROUP BY 1) SELECT o.user_id, CAST(sum(CASE op WHEN 'ADD' THEN v WHEN 'SUB' THEN -v WHEN 'SET' THEN v ELSE 0 END) AS BIGINT) AS value FROM o LEFT JOIN l ON l.user_id = o.user_id WHERE last IS NULL OR event_id >= last GROUP BY 1")
+def a13(spark, d):
+    op = F.when(F.col("event_type") == "signup", "INIT").when(F.col("event_type") == "purchase", "SET").when(F.col("event_type") == "click", "SUB").otherwise("ADD")
+    ops = table(spark, d, "events").select("user_id", "event_id", op.alias("op"), F.round("value").cast("long").alias("v"))
+    return K.stat_fields(ops, ["user_id"], "event_id", "op", "v")
+
+
+@query("g3_stuck_loop", "SELECT count(*) FILTER (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '2002-01-01' - INTERVAL 60 MINUTE AND rn <= 500) AS back FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)")
+def g3(spark, d):
+    """One run of the loop that sets stuck URLs back."""
+    status = F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(7)
+    urls = table(spark, d, "orders").select("o_orderkey", status.alias("status"), status.alias("old"), F.col("o_orderdate").alias("u_date"))
+    out = ST.returned(urls, F.expr("timestamp_ntz'2002-01-01 00:00:00'"), 60, 500, [F.col("u_date"), F.col("o_orderkey")], "o_orderkey")
+    return out.agg(F.count_if(F.col("status") != F.col("old")).alias("back"))

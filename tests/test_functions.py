@@ -144,3 +144,32 @@ def test_small_text_functions(spark):
 def test_differences(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, t string")
     assert sorted(map(tuple, runtime.differences(a, a.where("k = 2").unionAll(a.where("k = 2"))).collect())) == [(1, "x", "left"), (1, "x", "left"), (2, "y", "right")]
+
+
+def test_file_sources(spark, tmp_path):
+    from tarn.sources import tables
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text('{"n": 3}\n')
+    (tmp_path / "y.json").write_text('{"n": 4}\n{"m": 1}\n')
+    assert tables.file_sum(spark, str(tmp_path), "n").first()["n"] == 7
+    (tmp_path / "d.xml").write_text("<all><document><id>1</id><t>a</t></document><document><id>2</id><t>b</t></document></all>")
+    assert sorted((r["id"], r["t"]) for r in tables.import_documents(spark, str(tmp_path / "d.xml"), "xml").collect()) == [(1, "a"), (2, "b")]
+    assert tables.import_files(spark, str(tmp_path), "*.xml").count() == 1
+
+
+def test_entity_tables(spark, tmp_path):
+    from tarn import schemas
+    from tarn.sources import tables
+
+    rows = spark.createDataFrame([("1", "m", 4, "{}", datetime.datetime(2024, 1, 1)), ("2", "n", 4, "{}", None)], schemas.URL_LOG)
+    tables.write(rows, str(tmp_path), "url_log")
+    got = tables.read(spark, str(tmp_path), "url_log", site_id="2")
+    assert [r["url_md5"] for r in got.collect()] == ["n"]
+    assert "PartitionFilters: [isnotnull(site_id" in got._jdf.queryExecution().toString()
+
+
+def test_authors():
+    from tarn.functions.author import author
+
+    assert [author(x) for x in ("By Jane Q. Roe, staff", "j.doe@x.com", "johnSmith", "ann_lee", "", None)] == ["Jane Q. Roe", "J Doe", "John Smith", "Ann Lee", None, None]
