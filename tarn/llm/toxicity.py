@@ -15,35 +15,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import fold64
+from tarn.llm.common import chunks, fold64
 
 WORD = re.compile(r"\w+")
-STEM = 5  # letters
+STEMS = (4, 5)  # letters
 CACHE = 1 << 18
 
 
 class Words(dict):
-    """64-bit ids of words and of their stems; forgets all when it is full."""
+    """Numbers of words, and by number the 64-bit ids of the word and its stems."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= CACHE:
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((1 << 12, 1 + len(STEMS)), np.uint64)
+
+    def room(self) -> None:
+        """Forget all words when there are too many; only between texts."""
+        if len(self) > CACHE:
             self.clear()
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         h = lambda s, salt: zlib.crc32(s) | zlib.crc32(s, salt) << 32
-        self[word] = got = (h(word.encode(), 77), h(word[:STEM].encode(), 99))
-        return got
+        self.table[i] = (h(word.encode(), 77), *(h(word[:n].encode(), 90 + n) for n in STEMS))
+        self[word] = i
+        return i
 
 
 def features(text: str, words: Words, bits: int) -> np.ndarray:
     """Sorted distinct buckets of a text."""
-    got = [words[w] for w in WORD.findall(text.lower())]
+    words.room()
+    got = WORD.findall(text.lower())
     if not got:
         return np.zeros(0, np.int32)
-    w, stem = np.array(got, np.uint64).T
+    at = np.fromiter(map(words.__getitem__, got), np.int64, len(got))
+    w, *stems = words.table[at].T
     k = np.uint64(0x9E3779B97F4A7C15)
-    keys = np.concatenate([w, stem + np.uint64(3), w[:-1] * k + w[1:], (w[:-2] * k + w[2:]) ^ k])
+    keys = np.concatenate([w, *stems, w[:-1] * k + w[1:], (w[:-2] * k + w[2:]) ^ k])
     return np.unique((fold64(keys) >> np.uint64(64 - bits)).astype(np.int32))
 
 
@@ -52,9 +66,9 @@ class Ftrl:
     """FTRL-proximal over binary features; ``w`` is lazy, from z and n."""
 
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 3.0
     l2: float = 1.0
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -93,7 +107,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int = 3, params: Ftrl | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int = 6, params: Ftrl | None = None) -> Model:
     """A model from at most ``max_rows`` labelled rows that aren't held out (those with the smallest hash of doc_id).
 
     Several labels of one id count as the largest. Null ids, labels and texts give no example. Without any
@@ -105,10 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")  # max_rows pairs of numbers
     bits = p.bits
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "y": b["y"], "x": [features(t, words, bits) for t in b["text"]]})
+        for b in chunks(batches):
+            x = pa.array([features(t.as_py(), words, bits) for t in b.column(2)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["k", "y", "x"])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
@@ -118,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int
         at, w, bias = p.fit(x, y, epochs)
         yield pd.DataFrame({"at": [at], "w": [w], "bias": [bias]})
 
-    examples = rows.select(F.xxhash64("doc_id").alias("k"), "y", "text").mapInPandas(hashed, "k long, y int, x array<int>")
+    examples = rows.select(F.xxhash64("doc_id").alias("k"), "y", "text").mapInArrow(hashed, "k long, y int, x array<int>")
     got = examples.repartition(1).sortWithinPartitions("k", "x").mapInPandas(fit, "at array<int>, w array<double>, bias double").collect()
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0), -100.0, bits)
