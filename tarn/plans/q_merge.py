@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as X
 from tarn.operators import merge as M
 from tarn.plans.registry import query, table
+from tarn.sources.tables import spread
 
 
 def node_rows(spark, d):
@@ -41,7 +42,7 @@ def d3(spark, d):
 
 @query("d4_content_hash_dedup", "SELECT h, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, md5(array_to_string(list_filter(list_sort(list_distinct(regexp_split_to_array(lower(text), '\\s'))), lambda x: length(x) >= 3), '')) AS h FROM documents) GROUP BY 1")
 def d4(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.content_hash_2(F.col("text")).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.content_hash_2(F.col("text")).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 @query("d5_line_repeats", "SELECT doc_id, CAST(count(*) FILTER (prev IS NULL OR prev <> line) AS BIGINT) AS n FROM (SELECT doc_id, trim(line) AS line, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) GROUP BY 1")

@@ -115,7 +115,7 @@ def e18(spark, d):
 @query("z1_search", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), m AS (SELECT doc_id, sum(6) AS w, count(DISTINCT term) AS hits FROM t WHERE term IN ('the', 'onesh', 'with') GROUP BY 1) SELECT doc_id, CAST(w AS BIGINT) AS weight, hits FROM m JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars BETWEEN 100 AND 5000 ORDER BY weight DESC, doc_id LIMIT 40 OFFSET 5")
 def z1(spark, d):
     docs = table(spark, d, "documents")
-    idx = Z.index(docs, "doc_id", {"bodys": "text"})
+    idx = Z.index(T.spread(docs.select("doc_id", "text")), "doc_id", {"bodys": "text"})
     filters = [Z.Filter(3, "lang", ["en"]), Z.Filter(1, "n_chars", [100, 5000])]
     return Z.search(idx, docs.select("doc_id", "lang", "n_chars"), "doc_id", "the with onesh", filters, offset=5, limit=40, any_term=True).select("doc_id", "weight", "hits")
 

@@ -9,10 +9,11 @@ from tarn.functions import lang as L
 from tarn.functions import text as X
 from tarn.functions import urls as U
 from tarn.plans.registry import query, table
+from tarn.sources.tables import spread
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
 def pages(spark, d):
@@ -154,7 +155,7 @@ def t3(spark, d):
 @query("t1_tag_metrics", "SELECT doc_id, CAST(2 + CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS BIGINT) AS n, CASE WHEN n_chars > 500 THEN 100 ELSE 66 END AS pct FROM documents")
 def t1(spark, d):
     tags = F.create_map(F.lit("a"), F.col("lang"), F.lit("b"), F.col("source"), F.lit("c"), F.when(F.col("n_chars") > 500, "x").otherwise(" "))
-    return docs(spark, d).select("doc_id", X.metric("TAGS_NUMBER", tags).cast("long").alias("n"), X.metric("TAGS_NUMBER_PERCENT", tags).alias("pct"))
+    return table(spark, d, "documents").select("doc_id", X.metric("TAGS_NUMBER", tags).cast("long").alias("n"), X.metric("TAGS_NUMBER_PERCENT", tags).alias("pct"))
 
 
 @query("l1_language")

@@ -24,6 +24,12 @@ def read(spark: SparkSession, root: str, name: str, database: str = "primary", s
     return df if site_id is None else df.where(F.col("site_id") == site_id)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose files give fewer tasks than there are cores (one large row group) dealt over all cores, for work that is heavy on each row; other scans as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def write(df: DataFrame, root: str, name: str, database: str = "primary", mode: str = "overwrite") -> None:
     """An entity table, partitioned by site; rows of a site are dealt over several files by hash, so a large site is no single task."""
     w = df.write.mode(mode)
