@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import Staged, chunks, fold64
@@ -433,21 +433,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dealt(members: DataFrame, block_tokens: int) -> DataFrame:
     """Members (k, s, g, n) of groups with the task that compares them.
 
-    A group is sorted by size and cut into blocks of about ``block_tokens`` shingles; a task is a pair of blocks whose sizes let sets
-    link (or one block), so it holds two blocks however large the group is. Groups of one block are one task.
+    A group of at most ``block_tokens`` shingles is one task. A larger one is cut by size class (a class spans the ratio 5/4, so
+    links lie in one class or two neighbouring ones) and within it by hash to blocks of about that many shingles; a task is a pair of
+    blocks. Only sums by group and class are formed, so no task ever holds or sorts a large group.
     """
-    cut = members.withColumn("block", F.expr(f"sum(n) over (partition by k order by n, s rows between unbounded preceding and current row) div {block_tokens}"))
-    ends = cut.groupBy("k", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    many = ends.withColumn("last", F.max("block").over(Window.partitionBy("k"))).where("last > 0")
-    a, b = many.select("k", F.col("block").alias("i"), F.col("high")), many.select("k", F.col("block").alias("j"), F.col("low"))
-    pairs = a.join(b, "k").where("i <= j and 5 * high >= 4 * low").select("k", "i", "j")
-    wide = pairs.where("i < j")
-    alone = wide.select("k", "i").unionAll(wide.select("k", F.col("j").alias("i"))).distinct()  # a block that meets another needs no task of its own
-    single = pairs.where("i = j").join(alone, ["k", "i"], "left_anti")
-    of_pair = wide.select("k", "i", "j", F.explode(F.array("i", "j")).alias("block")).unionAll(single.select("k", "i", "j", F.col("i").alias("block")))
-    large = cut.join(of_pair, ["k", "block"]).select(F.xxhash64("k", "i", "j").alias("task"), "s", "g", "n")
-    small = cut.join(many.select("k").distinct(), "k", "left_anti").select(F.xxhash64("k").alias("task"), "s", "g", "n")
-    return small.unionAll(large)
+    large = members.groupBy("k").agg(F.sum("n").alias("total")).where(F.col("total") > block_tokens).select("k")
+    small = members.join(large, "k", "left_anti").select(F.xxhash64("k").alias("task"), "s", "g", "n")
+    rows = members.join(large, "k", "left_semi").withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    sizes = rows.groupBy("k", "c").agg(F.ceil(F.sum("n") / block_tokens).alias("parts"))
+    blocks = sizes.select("k", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"))
+    other = blocks.toDF("k", "d", "j")
+    pairs = blocks.join(other, "k").where("(c = d and i < j) or d = c + 1").select("k", "c", "i", "d", "j")
+    met = pairs.select("k", "c", "i").unionAll(pairs.select("k", F.col("d").alias("c"), F.col("j").alias("i"))).distinct()
+    single = blocks.join(met, ["k", "c", "i"], "left_anti")  # a block that meets another needs no task of its own
+    task = F.xxhash64("k", "c", "i", "d", "j")
+    of_pair = pairs.select(task.alias("task"), "k", F.explode(F.array(F.struct("c", "i"), F.struct(F.col("d").alias("c"), F.col("j").alias("i")))).alias("b")).select("task", "k", "b.c", "b.i")
+    of_pair = of_pair.unionAll(single.select(F.xxhash64("k", "c", "i").alias("task"), "k", "c", "i"))
+    placed = rows.join(sizes, ["k", "c"]).withColumn("i", F.pmod(F.xxhash64("s"), F.col("parts")))
+    return small.unionAll(placed.join(of_pair, ["k", "c", "i"]).select("task", "s", "g", "n"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
