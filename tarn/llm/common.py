@@ -48,6 +48,10 @@ class Staged:
             hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+    def last_only(self) -> None:
+        """Remove all tables but the one written last, when only that is read from now on."""
+        self.drop(*[f"{self.root}/{i}" for i in range(1, self.n)])
+
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished steps now: it acts when the driver's garbage is collected."""
         gc.collect()

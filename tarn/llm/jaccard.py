@@ -424,6 +424,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group = components(links, store)
     out = signed.select("id", "s", "n").join(group.select(F.col("node").alias("s"), F.col("label").alias("g")), "s", "left").withColumn("g", F.coalesce("g", "s"))
     out = store.put(out)
+    store.last_only()
+    store.release()
     names = out.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
     linked = out.where("n > 0").join(names, "g").select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = out.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
