@@ -221,14 +221,21 @@ def s14(spark, d):
     return table(spark, d, "events").select("event_id", X.json_path(text, "a:b:__LEN__").alias("n"), X.json_path(text, "a:b:0").alias("first"))
 
 
-@query("s6_table_round_trip", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey = 7 OR o_custkey = 8 GROUP BY 1")
-def s6(spark, d):
+@query("s6_table_round_trip_all", "SELECT o_custkey, count(*) AS n, min(md5(CAST(o_orderkey AS VARCHAR))) AS url_md5, max(o_orderdate) AS o_date FROM orders GROUP BY 1")
+def s6_all(spark, d):
+    """All orders as an entity table, written and read again."""
     from tarn.lineage import checkpoint_dir
 
     root = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
-    log = table(spark, d, "orders").where("o_custkey in (7, 8)").select(F.col("o_custkey").cast("string").alias("site_id"), F.md5(F.col("o_orderkey").cast("string")).alias("url_md5"), F.lit(1).alias("op_code"), F.lit("{}").alias("object"), F.col("o_orderdate").alias("o_date"))
+    log = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("site_id"), F.md5(F.col("o_orderkey").cast("string")).alias("url_md5"), F.lit(1).alias("op_code"), F.lit("{}").alias("object"), F.col("o_orderdate").alias("o_date"))
     T.write(log, root, "url_log")
-    return T.read(spark, root, "url_log").groupBy(F.col("site_id").cast("long").alias("o_custkey")).agg(F.count("*").alias("n"))
+    return T.read(spark, root, "url_log").groupBy(F.col("site_id").cast("long").alias("o_custkey")).agg(F.count("*").alias("n"), F.min("url_md5").alias("url_md5"), F.max("o_date").alias("o_date"))
+
+
+@query("s6_table_round_trip", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey = 7 OR o_custkey = 8 GROUP BY 1")
+def s6(spark, d):
+    """Two sites out of the whole table."""
+    return s6_all(spark, d).where("o_custkey in (7, 8)").select("o_custkey", "n")
 
 
 @query("g1_batch_loop", "SELECT o_orderkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'O') ORDER BY (rn - 1) // 1, o_custkey, rn LIMIT 5")

@@ -18,10 +18,20 @@ def location(root: str, name: str, database: str = "primary") -> str:
     return f"{root.rstrip('/')}/{DATABASES[database]}/{name}"
 
 
+#: Folders of an entity table; sites are dealt to them by hash, so that their number does not grow with the sites.
+SITE_BUCKETS = 64
+
+
+def bucket(site_id: Column) -> Column:
+    return F.pmod(F.xxhash64(site_id), F.lit(SITE_BUCKETS)).cast("int")
+
+
 def read(spark: SparkSession, root: str, name: str, database: str = "primary", site_id: str | None = None) -> DataFrame:
     """An entity table; a site id prunes partitions."""
     df = spark.read.schema(schemas.ALL[name]).parquet(location(root, name, database))
-    return df if site_id is None else df.where(F.col("site_id") == site_id)
+    if site_id is not None:
+        df = df.where((F.col("site_id_bucket") == bucket(F.lit(site_id))) & (F.col("site_id") == site_id))
+    return df.select(*schemas.ALL[name].names)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -31,9 +41,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, root: str, name: str, database: str = "primary", mode: str = "overwrite") -> None:
-    """An entity table, partitioned by site; rows of a site are dealt over several files by hash, so a large site is no single task."""
-    w = df.write.mode(mode)
-    (w.partitionBy("site_id") if "site_id" in df.columns else w).parquet(location(root, name, database))
+    """An entity table, partitioned by hash buckets of the site; each task writes its own files, so a large site is no single task."""
+    if "site_id" in df.columns:
+        df.withColumn("site_id_bucket", bucket(F.col("site_id"))).write.mode(mode).partitionBy("site_id_bucket").parquet(location(root, name, database))
+    else:
+        df.write.mode(mode).parquet(location(root, name, database))
 
 
 def by_index(rows: list) -> list[tuple]:
