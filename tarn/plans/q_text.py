@@ -187,7 +187,16 @@ def k4(spark, d):
 
 @query("dt1_parse", "SELECT o_orderkey, o_orderdate AS a, CAST(o_orderdate AS DATE)::TIMESTAMP AS b, TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 1 HOUR * (o_orderkey % 40 + 1) AS c FROM orders WHERE o_orderkey % 20 = 0")
 def dt1(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 20 = 0")
+    """A twentieth of what dt1_parse_all parses."""
+    return parsed_orders(table(spark, d, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query("dt1_parse_all", "SELECT o_orderkey, o_orderdate AS a, CAST(o_orderdate AS DATE)::TIMESTAMP AS b, TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 1 HOUR * (o_orderkey % 40 + 1) AS c FROM orders")
+def dt1_all(spark, d):
+    return parsed_orders(spread(table(spark, d, "orders")))
+
+
+def parsed_orders(o):
     now, c = "2024-01-01 12:00:00", F.col("o_orderdate")
     forms = {"a": F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "b": F.date_format(c, "'on' dd.MM.yyyy"), "c": F.concat(F.col("o_orderkey") % 40 + 1, F.lit(" hours ago"))}
     return o.select("o_orderkey", *[D.parse_date(x, now).alias(n) for n, x in forms.items()])

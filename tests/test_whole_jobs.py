@@ -24,3 +24,8 @@ def test_round_trip_writes_every_site(spark, sf, monkeypatch):
     assert written == [orders(spark, sf).count()] * 2
     folders = {r["f"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots[0]).selectExpr("regexp_extract(path, 'site_id[^/]*', 0) as f").collect()}
     assert len(folders) <= tables.SITE_BUCKETS < orders(spark, sf).select("o_custkey").distinct().count()
+
+
+def test_every_order_date_is_parsed(spark, sf):
+    got = registry.queries()["dt1_parse_all"](spark, sf)
+    assert got.where("a is not null and b is not null and c is not null").count() == orders(spark, sf).count()
