@@ -134,10 +134,17 @@ def z4(spark, d):
 
 @query("z7_highlight", "SELECT doc_id, regexp_replace(text, '\\b(the|of)\\b', '<b>\\1</b>', 'g') AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '\\b(The|Of|THE|OF)\\b')")
 def z7(spark, d):
+    """Of z7_highlight_all the documents where plain SQL matches alike."""
     rows = table(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"\b(The|Of|THE|OF)\b"))
     return rows.select("doc_id", X.highlighted(F.col("text"), ["the", "of"], "<b>", "</b>").alias("t"))
 
 
+@query("z7_highlight_all", "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nd}_][\\p{L}\\p{Nd}\\p{Mn}_]*|[^\\p{L}\\p{Nd}_]+'), lambda w: CASE WHEN lower(w) IN ('the', 'of') THEN '<b>' || w || '</b>' ELSE w END), '') AS t FROM documents")
+def z7_all(spark, d):
+    rows = T.spread(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", X.highlighted(F.col("text"), ["the", "of"], "<b>", "</b>").alias("t"))
+
+
 @query("s10_result_extraction", "SELECT event_id, '{\"k\":\"' || (props->>'$.k') || '\"}' AS line FROM events")
 def s10(spark, d):
     rows = table(spark, d, "events").select("event_id", F.base64(F.col("props").cast("binary")).alias("data"))

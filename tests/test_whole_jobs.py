@@ -29,3 +29,12 @@ def test_round_trip_writes_every_site(spark, sf, monkeypatch):
 def test_every_order_date_is_parsed(spark, sf):
     got = registry.queries()["dt1_parse_all"](spark, sf)
     assert got.where("a is not null and b is not null and c is not null").count() == orders(spark, sf).count()
+
+
+def test_every_document_is_highlighted(spark, sf):
+    import re
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["t"] for r in registry.queries()["z7_highlight_all"](spark, sf).collect()}
+    assert got == {k: re.sub(r"\b(the|of)\b", r"<b>\1</b>", t, flags=re.I) for k, t in docs.items()}
+    assert any("<b>The</b>" in t for t in got.values())
