@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import rules as R
 from tarn.plans.registry import query, table
+from tarn.sources.tables import spread
 
 RULES = "(VALUES (1, '1-URGENT', 0, 1, 1), (2, '5-LOW', 0, 1, -1), (3, '150000', 6, 2, 1), (4, '20000', 5, 2, -1)) r(rule_id, pattern, op_code, stage, action)"
 
@@ -82,7 +83,17 @@ def p18(spark, d):
 
 @query("p21_tag_validators", "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^t') AND NOT regexp_matches(x, 'tion')) AS tags FROM documents WHERE lang = 'en'")
 def p21(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", R.kept_by_regex(F.split("text", " "), "^t", "tion").alias("tags"))
+    """Of p21_tag_validators_all the English documents."""
+    return validated_tags(table(spark, d, "documents").where("lang = 'en'"))
+
+
+@query("p21_tag_validators_all", "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^t') AND NOT regexp_matches(x, 'tion')) AS tags FROM documents")
+def p21_all(spark, d):
+    return validated_tags(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def validated_tags(docs):
+    return docs.select("doc_id", R.kept_by_regex(F.split("text", " "), "^t", "tion").alias("tags"))
 
 
 @query("p22_existence", "SELECT c_custkey, CASE WHEN last IS NULL THEN 0 WHEN last < TIMESTAMP '2001-08-01' - INTERVAL 1 DAY * (c_nationkey * 20) THEN 2 ELSE 1 END AS seen FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")

@@ -38,3 +38,9 @@ def test_every_document_is_highlighted(spark, sf):
     got = {r["doc_id"]: r["t"] for r in registry.queries()["z7_highlight_all"](spark, sf).collect()}
     assert got == {k: re.sub(r"\b(the|of)\b", r"<b>\1</b>", t, flags=re.I) for k, t in docs.items()}
     assert any("<b>The</b>" in t for t in got.values())
+
+
+def test_tags_of_every_language_are_validated(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["tags"] for r in registry.queries()["p21_tag_validators_all"](spark, sf).collect()}
+    assert got == {k: [w for w in t.split(" ") if w.startswith("t") and "tion" not in w] for k, t in docs.items()}
