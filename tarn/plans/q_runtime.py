@@ -127,8 +127,9 @@ def z3(spark, d):
 
 @query("z4_index_merge", "SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id % 10 <> 3)")
 def z4(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 10 <> 3 or doc_id < 100")
-    a, b = Z.index(docs.where("doc_id % 2 = 0 or doc_id < 100"), "doc_id", {"bodys": "text"}), Z.index(docs.where("doc_id % 2 = 1"), "doc_id", {"bodys": "text"})
+    """Indexes that share the odd multiples of 5, a tenth of the table; another tenth is deleted from both."""
+    docs = table(spark, d, "documents")
+    a, b = Z.index(docs.where("doc_id % 2 = 0 or doc_id % 5 = 0"), "doc_id", {"bodys": "text"}), Z.index(docs.where("doc_id % 2 = 1"), "doc_id", {"bodys": "text"})
     return Z.without(Z.merged(a, b, "doc_id"), docs.where("doc_id % 10 = 3").select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 

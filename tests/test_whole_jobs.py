@@ -44,3 +44,19 @@ def test_tags_of_every_language_are_validated(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["tags"] for r in registry.queries()["p21_tag_validators_all"](spark, sf).collect()}
     assert got == {k: [w for w in t.split(" ") if w.startswith("t") and "tion" not in w] for k, t in docs.items()}
+
+
+def test_a_tenth_is_replaced_and_a_tenth_deleted(spark, sf, monkeypatch):
+    from tarn.operators import search
+
+    left = []
+    plain = search.without
+
+    def seen(idx, keys, key):
+        left.append({r[0] for r in idx.join(keys, key, "left_semi").select(key).distinct().collect()})
+        return plain(idx, keys, key)
+
+    monkeypatch.setattr(search, "without", seen)
+    registry.queries()["z4_index_merge"](spark, sf).collect()
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert left == [{i for i in ids if i % 10 == 5}, {i for i in ids if i % 10 == 3}]
