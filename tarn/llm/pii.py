@@ -207,13 +207,13 @@ def with_personal(df: DataFrame, model: tuple[crf.Weights, float], text_col: str
 
 
 def masked(text: F.Column, spans: F.Column) -> F.Column:
-    """A text with every span replaced by [KIND]; of overlapping spans the one that starts first (then the longest) stands."""
+    """A text with every span replaced by [KIND]; of overlapping spans the one that starts first (then the longest) names the kind, and all they cover is cut."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
         taken = F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), (-s["end"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], taken).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], taken).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], -s["end"]).alias("at")))
 
     return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 

@@ -60,3 +60,13 @@ def test_a_tenth_is_replaced_and_a_tenth_deleted(spark, sf, monkeypatch):
     registry.queries()["z4_index_merge"](spark, sf).collect()
     ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert left == [{i for i in ids if i % 10 == 5}, {i for i in ids if i % 10 == 3}]
+
+
+def test_masking_cuts_the_union_of_overlapping_spans(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.llm import pii
+
+    text = "id 123456789012 10.0.0.1 end"
+    df = spark.createDataFrame([(text, [(16, 24, "ip"), (3, 18, "card")]), (text, [(3, 15, "card"), (4, 9, "phone"), (16, 24, "ip")])], "text string, s array<struct<start:int,end:int,kind:string>>")
+    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("s"))).collect()] == ["id [CARD] end", "id [CARD] [IP] end"]
