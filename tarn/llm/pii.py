@@ -94,10 +94,10 @@ def alike(token: str) -> str:
     return crf.shape(token) + "\0" + token[:3]
 
 
-def train(docs: DataFrame, rows: int = 1200) -> tuple[crf.Weights, float]:
-    """Chain weights, and the skip weight: log odds that linked tokens of the sample have one label, between 0.5 and 3."""
+def train(docs: DataFrame, rows: int = 1200, chars: int = 20000) -> tuple[crf.Weights, float]:
+    """Chain weights, and the skip weight: log odds that linked tokens of the sample (of ``secret_scan.sample_texts``) have one label, between 0.5 and 3."""
     hint = F.col("text").contains("@") | F.col("text").rlike("[0-9+][0-9.][0-9a-f. ()-]{6}")
-    got = [labelled(t) for t in sample_texts(docs, hint, rows)]
+    got = [labelled(t) for t in sample_texts(docs, hint, rows, chars)]
     agree = other = 1
     for tokens, tags in got:
         last: dict[str, int] = {}

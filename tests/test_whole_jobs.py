@@ -70,3 +70,15 @@ def test_masking_cuts_the_union_of_overlapping_spans(spark):
     text = "id 123456789012 10.0.0.1 end"
     df = spark.createDataFrame([(text, [(16, 24, "ip"), (3, 18, "card")]), (text, [(3, 15, "card"), (4, 9, "phone"), (16, 24, "ip")])], "text string, s array<struct<start:int,end:int,kind:string>>")
     assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("s"))).collect()] == ["id [CARD] end", "id [CARD] [IP] end"]
+
+
+def test_training_samples_hold_different_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.llm.secret_scan import sample_texts
+
+    rows = [("the same text",)] * 500 + [(f"text {i}",) for i in range(30)] + [("long " * 100,), (None,)]
+    got = sample_texts(spark.createDataFrame(rows, "text string").repartition(5), F.lit(False), 40, chars=50)
+    assert len(got) == len(set(got)) == 20 and max(map(len, got)) <= 50
+    every = sample_texts(spark.createDataFrame(rows, "text string"), F.lit(False), 1000, chars=50)
+    assert len(every) == 32 and "the same text" in every
