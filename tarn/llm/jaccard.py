@@ -352,7 +352,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = prefixes.select(F.posexplode("seq").alias("pos", "t"), "s", "n").select("t", "s", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("at"))
     near = rows.repartitionByRange(tasks, "t", "s").sortWithinPartitions("t", "s").mapInArrow(neighbours, "t long, s long, at long")
     near = store.put(near.select("t", "s", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")))
-    store.release()
 
     # 2. ties to the centre of each shingle: the class with the smallest id, so that alike classes get few centres
     heads = store.put(prefixes.join(near.select("s").distinct().hint("merge"), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("seq").alias("seq")))
@@ -366,7 +365,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     left, right = heads.toDF("a", "an", "ap"), heads.toDF("b", "bn", "bp")
     ties = store.put(tie.join(left, "a").join(right, "b").where(linkable("ap", "an", "bp", "bn")).select("a", "b"))
-    store.release()
     cluster = store.put(components(ties, store).select(F.col("node").alias("s"), F.col("label").alias("g")))
 
     # shingles across clusters: those whose smallest class is one are one group, as a passage's shingles have nearly the same classes
@@ -383,7 +381,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     bridges = store.put(compared.repartition("task").sortWithinPartitions("task").select("task", "s", "g", "n", "seq").mapInPandas(cross, "a long, b long"))
-    store.release()
     joined = components(bridges, store).select(F.col("node").alias("g"), F.col("label").alias("k"))
 
     # 3. whole sets of clusters, with those that bridges join as one, in tries
@@ -420,12 +417,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     full = again.mapInArrow(whole, "task long, s long, seq array<long>")
     links = store.put(full.repartition("task").sortWithinPartitions("task").mapInPandas(link, "a long, b long"))
-    store.release()
     group = components(links, store)
     out = signed.select("id", "s", "n").join(group.select(F.col("node").alias("s"), F.col("label").alias("g")), "s", "left").withColumn("g", F.coalesce("g", "s"))
-    out = store.put(out)
-    store.last_only()
-    store.release()
+    out = store.final(out)
     names = out.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
     linked = out.where("n > 0").join(names, "g").select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = out.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
