@@ -31,11 +31,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of rows that repeat id and text one."""
-    stays = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
-    return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest doc_id (a null one is the largest); of rows that repeat id and text one."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))  # texts under one id are told apart
+    keyed = docs.select(*COLUMNS, row.alias("_row"))
+    stays = similar_groups(keyed, "_row").where("_row = component_id").select("_row").distinct()
+    same = Window.partitionBy("_row").orderBy("lang", "source", "n_chars")
+    return keyed.join(stays, "_row", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +70,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes when the next one is written.
+
+    Null and empty texts are clean, never near duplicates and packed as the END id; texts are whole however long; rows with a null doc_id
+    are kept unless they are a near copy of another row; rows that repeat id and text are one from the second stage on, ties go to the
+    smaller doc_id; columns beside those of documents are dropped, whatever their names; empty tables give no rows.
+    """
     store, docs = Staged(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = store.put(stage(spark, docs, sf_dir))
+        docs = store.final(stage(spark, docs, sf_dir))
     return docs

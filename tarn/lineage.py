@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local runs) a folder of our own is set as the checkpoint folder."""
+    """spark.checkpoint.dir; where it is unset a local run gets a folder of its own, and any other master an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset; on {master} it must name a folder that driver and executors share")
         d = f"file://{tempfile.gettempdir()}/tarn-checkpoints"
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(d)
