@@ -25,9 +25,11 @@ def record_bytes(url: F.Column, payload: F.Column) -> F.Column:
 
 
 def with_rank(df: DataFrame, order: list[str], name: str, store: Staged, rows_per_task: int = 20000) -> DataFrame:
-    """``df`` with the rank (from 0) of each row in ``order``; rows that are equal in it are ranked in any order."""
-    n = df.count()
-    ranged = store.put(df.repartitionByRange(max(1, -(-n // rows_per_task)), *order).sortWithinPartitions(*order).withColumn("_tarn_m", F.monotonically_increasing_id()))
+    """``df`` with the rank (from 0) of each row in ``order``; rows that are equal in it are ranked in any order, and dealt over tasks like others."""
+    rows = store.put(df.withColumn("_tarn_row", F.monotonically_increasing_id()))  # a number of each row, so that equal rows can be split
+    n = rows.count()
+    by = [*order, "_tarn_row"]
+    ranged = store.put(rows.repartitionByRange(max(1, -(-n // rows_per_task)), *by).sortWithinPartitions(*by).withColumn("_tarn_m", F.monotonically_increasing_id()))
     part = F.shiftright("_tarn_m", 33)
     held = sorted((r["p"], r["low"], r["count"]) for r in ranged.groupBy(part.alias("p")).agg(F.min("_tarn_m").alias("low"), F.count("*").alias("count")).collect())
     at, shifts = 0, []
@@ -35,21 +37,41 @@ def with_rank(df: DataFrame, order: list[str], name: str, store: Staged, rows_pe
         shifts.append((p, at - low))
         at += count
     offsets = df.sparkSession.createDataFrame(shifts, "_tarn_p long, _tarn_shift long")
-    return ranged.withColumn("_tarn_p", part).join(F.broadcast(offsets), "_tarn_p").withColumn(name, F.col("_tarn_m") + F.col("_tarn_shift")).drop("_tarn_p", "_tarn_m", "_tarn_shift")
+    return ranged.withColumn("_tarn_p", part).join(F.broadcast(offsets), "_tarn_p").withColumn(name, F.col("_tarn_m") + F.col("_tarn_shift")).drop("_tarn_p", "_tarn_m", "_tarn_shift", "_tarn_row")
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", per_file: int = 1024, store: Staged | None = None) -> DataFrame:
-    """Records of an archive: key, url, seq (rank by key, url and payload), file, offset, length, record (bytes).
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", per_file: int = 1024, store: Staged | None = None, damage: tuple[str, str] | None = None) -> DataFrame:
+    """The index of an archive: key, url, seq (rank by key, url and payload), file, offset, length, sha256 of the record.
 
-    Null urls and payloads are empty ones, null keys come first, repeated rows are records of their own, an empty table is
-    an empty archive; other columns are not read.
+    Null urls and payloads are empty ones in a record, null keys come first, repeated rows are records of their own, an empty table is
+    an empty archive; other columns are not read. A record is digested where its page is read: payloads are never shuffled, but for
+    those of different pages that share key and url, which alone need them for their order. Offsets and lengths are 64 bits, a payload is
+    at most 2 GB. ``damage``, of two conditions on ``key``, adds ``other``: the digest with the last byte changed for rows under the
+    first, and null for rows under the second, as a replica with those faults would have it.
     """
     store = store or Staged(pages.sparkSession, "fixity")
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{payload}`").alias("payload"))
-    ranked = with_rank(rows, ["key", "url", "payload"], "seq", store).withColumn("record", record_bytes(F.col("url"), F.col("payload"))).drop("payload")
-    sized = ranked.withColumn("file", F.expr(f"seq div {per_file}")).withColumn("length", F.length("record").cast("long"))
+    record = record_bytes(F.col("url"), F.col("payload"))
+    sha = F.sha2(record, 256)
+    digests = {"sha256": sha, "null_payload": F.col("payload").isNull(), "length": F.length(record).cast("long")}
+    if damage:
+        flipped = F.concat(F.substring(record, 1, F.length(record) - 1), F.encode(F.lit("#"), "UTF-8"))
+        digests["other"] = F.when(F.coalesce(F.expr(damage[1]), F.lit(False)), F.lit(None).cast("string")).when(F.coalesce(F.expr(damage[0]), F.lit(False)), F.sha2(flipped, 256)).otherwise(sha)
+    light = store.put(rows.withColumns(digests).drop("payload"))
+    several = light.groupBy("key", "url").agg(F.min(F.struct("null_payload", "sha256")).alias("x"), F.max(F.struct("null_payload", "sha256")).alias("y")).where("x <> y").select(F.col("key").alias("k"), F.col("url").alias("u"))
+    alike = rows.join(several, F.col("key").eqNullSafe(F.col("k")) & F.col("url").eqNullSafe(F.col("u")), "left_semi").distinct()
+    ordered = with_rank(alike, ["key", "url", "payload"], "tie", store).select(F.col("key").alias("k"), F.col("url").alias("u"), F.col("payload").isNull().alias("p"), F.sha2(record, 256).alias("s"), "tie")
+    same = F.col("key").eqNullSafe(F.col("k")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("null_payload") == F.col("p")) & (F.col("sha256") == F.col("s"))
+    placed = light.join(ordered, same, "left").drop("k", "u", "p", "s", "null_payload")
+    sized = with_rank(placed, ["key", "url", "tie"], "seq", store).withColumn("file", F.expr(f"seq div {per_file}"))
     before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("key", "url", "seq", "file", "offset", "length", "record")
+    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("key", "url", "seq", "file", "offset", "length", "sha256", *(["other"] if damage else []))
+
+
+def with_records(index: DataFrame, pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """An archive's index with ``record``, the bytes themselves: what is to be written to files, in order of file and offset."""
+    body = pages.select(F.col(f"`{key}`").alias("_k"), record_bytes(F.col(f"`{url}`"), F.col(f"`{payload}`")).alias("record")).withColumn("_s", F.sha2("record", 256)).dropDuplicates(["_k", "_s"])
+    return index.join(body, F.col("key").eqNullSafe(F.col("_k")) & (F.col("sha256") == F.col("_s"))).drop("_k", "_s")
 
 
 @dataclass
@@ -61,9 +83,8 @@ class Tree:
 
 
 def tree(records: DataFrame, height: int, store: Staged, fan_out: int = 16) -> Tree:
-    """The hash tree over records (seq, file, offset, length, record); ``height`` levels above the leaves end in one root."""
-    place = F.concat_ws(":", "file", "offset", "length")
-    leaf = records.select(F.col("seq").alias("node"), F.col("seq").alias("first"), F.col("seq").alias("last"), F.sha2(F.concat(F.encode(place, "UTF-8"), F.encode(F.lit(":"), "UTF-8"), F.col("record")), 256).alias("hash"))
+    """The hash tree over records (seq, file, offset, length, sha256); ``height`` levels above the leaves end in one root."""
+    leaf = records.select(F.col("seq").alias("node"), F.col("seq").alias("first"), F.col("seq").alias("last"), F.sha2(F.concat_ws(":", "file", "offset", "length", "sha256").cast("binary"), 256).alias("hash"))
     levels = [store.put(leaf)]
     for _ in range(height):
         child = F.sort_array(F.collect_list(F.struct("node", "hash")))  # fan_out children at most
@@ -114,10 +135,9 @@ def parse_warc(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
     return out
 
 
-def damaged(records: DataFrame, bad: str, lost: str) -> DataFrame:
-    """A replica in which the last byte of the records under the condition ``bad`` is another, and those under ``lost`` are gone."""
-    flipped = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(b"#"))
-    return records.where(~F.expr(lost)).withColumn("record", F.when(F.expr(bad), flipped).otherwise(F.col("record")))
+def replica(index: DataFrame) -> DataFrame:
+    """The replica whose digests are in ``other``; records without one are lost."""
+    return index.where("other is not null").withColumn("sha256", F.col("other"))
 
 
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +146,11 @@ def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The replica is the archive with a byte changed in pages whose id leaves 7 modulo 1000 and without those that leave 8.
     """
     store = Staged(spark, "fixity")
-    records = store.put(archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), store=store))
+    records = store.put(archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), store=store, damage=("key % 1000 = 7", "key % 1000 = 8")))
     height = height_for(records.count())
-    good, other = tree(records, height, store), tree(damaged(records, "key % 1000 = 7", "key % 1000 = 8"), height, store)
-    found = audit(good, other).select(F.col("node").alias("seq"), F.when(F.col("hash_b").isNull(), "missing").otherwise("corrupt").alias("found"))
-    return records.join(found, "seq", "left").select(F.col("key").alias("page_id"), "file", "offset", "length", F.sha2("record", 256).alias("sha256"), F.coalesce("found", F.lit("ok")).alias("status"))
+    found = audit(tree(records, height, store), tree(replica(records), height, store)).select(F.col("node").alias("seq"), F.when(F.col("hash_b").isNull(), "missing").otherwise("corrupt").alias("found"))
+    out = records.join(found, "seq", "left").select(F.col("key").alias("page_id"), "file", "offset", "length", "sha256", F.coalesce("found", F.lit("ok")).alias("status"))
+    return store.final(out)
 
 
 OP9_SQL = """

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import decontam, fixity, jaccard, suffix_dedup
 
@@ -230,32 +231,44 @@ def test_op8_finds_every_exact_passage(spark, sf):
 
 
 def test_audit_locates_damage(spark):
-    rows = [(i, f"http://h/{i}", "p" * (i % 7) + "é") for i in range(300)] + [(5, "http://h/5", "again"), (None, None, None)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, seq int")
+    rows = [(i, f"http://h/{i}", "p" * (i % 7) + "é") for i in range(300)] + [(5, "http://h/5", "again"), (5, "http://h/5", None), (5, "http://h/5", ""), (None, None, None)]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, seq int, sha256 string")
     store = fixity.Staged(spark, "t")
-    records = store.put(fixity.archive(pages, per_file=64, store=store))
-    got = records.orderBy("seq").collect()
+    records = store.put(fixity.archive(pages, per_file=64, store=store, damage=("key in (0, 73)", "key in (11, 12, 299)")))
+    got = fixity.with_records(records, pages).orderBy("seq").collect()
     assert [r["seq"] for r in got] == list(range(len(rows)))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2] is not None, (r[2] or "").encode()))
+    assert [(r["key"], r["url"]) for r in got] == [w[:2] for w in want]
+    payload = lambda r: fixity.parse_warc(bytes(r["record"]))[0][3].decode()
+    assert [payload(r) for r in got] == [w[2] or "" for w in want]
     at = defaultdict(int)
     for r in got:
-        assert r["offset"] == at[r["file"]] and r["length"] == len(r["record"])
+        assert r["offset"] == at[r["file"]] and r["length"] == len(r["record"]) and r["sha256"] == hashlib.sha256(r["record"]).hexdigest()
         at[r["file"]] += r["length"]
     h = fixity.height_for(len(rows))
     good = fixity.tree(records, h, store)
     assert good.levels[-1].count() == 1
-    bad = fixity.tree(fixity.damaged(records, "seq in (0, 77)", "seq in (15, 16, 300)"), h, store)
-    found = {(r["node"], r["hash_b"] is None) for r in fixity.audit(good, bad).collect()}
-    assert found == {(0, False), (77, False), (15, True), (16, True), (300, True)}
+    key = {r["seq"]: r["key"] for r in got}
+    found = {(key[r["node"]], r["hash_b"] is None) for r in fixity.audit(good, fixity.tree(fixity.replica(records), h, store)).collect()}
+    assert found == {(0, False), (73, False), (11, True), (12, True), (299, True)}
     assert fixity.audit(good, good).isEmpty()
 
 
 def test_archive_bytes_parse_back(spark):
     pages = spark.createDataFrame([(1, "http://a/", "x\r\n\r\ny"), (2, None, None)], "page_id long, url string, html string")
-    data = b"".join(bytes(r["record"]) for r in fixity.archive(pages).orderBy("seq").collect())
+    data = b"".join(bytes(r["record"]) for r in fixity.with_records(fixity.archive(pages), pages).orderBy("seq").collect())
     got = fixity.parse_warc(data + b"WARC/1.1\r\nContent-Le")
     assert [(h["WARC-Target-URI"], p) for _, _, h, p in got] == [("http://a/", b"x\r\n\r\ny"), ("", b"")]
 
 
+def test_equal_rows_are_dealt_over_tasks(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    store = fixity.Staged(spark, "t")
+    got = fixity.with_rank(rows, ["k"], "seq", store, rows_per_task=50)
+    most = spark.read.parquet(f"{store.root}/2").groupBy(F.shiftright("_tarn_m", 33)).count().agg(F.max("count")).first()[0]
+    assert most < 150 and [r["k"] for r in got.orderBy("seq").collect()] == sorted(7 if i % 3 == 0 else i for i in range(900))
+
+
 def test_empty_archive(spark):
     store = fixity.Staged(spark, "t")
     none = fixity.archive(spark.createDataFrame([], "page_id long, url string, html string"), store=store)
