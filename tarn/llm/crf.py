@@ -2,18 +2,23 @@
 
 Labels are 0 (outside) and kinds above. A token's features come from its own shape, from the classes of its
 neighbours and from its file; every potential is a sum of weights; those of neighbours, files and label pairs are
-bounded, so that a token's own shape can settle its label. Weights are fitted by full-batch gradient ascent on the
-conditional likelihood of short windows around interesting tokens of a bounded sample.
+bounded, so that a token's own shape can settle its label. Weights are fitted by full-batch gradient ascent on a
+piecewise conditional likelihood: chains are the windows of a bounded sample and altered copies of them, and linked
+pairs of tokens are pieces of their own, whose two potentials share a weight for agreeing labels.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\S+")
 BUCKETS = 1 << 14  # of own features
@@ -23,12 +28,17 @@ FILES = 4
 #: Weight rows: own buckets, class before, class after, file bucket, and one of zeros for padding.
 BEFORE, AFTER, FILE, NONE = BUCKETS, BUCKETS + CLASSES, BUCKETS + 2 * CLASSES, BUCKETS + 2 * CLASSES + FILES
 ROWS = NONE + 1
-PRIOR = 12.0
-MOST = 9  # own features of a token
+PRIOR = 30.0
+MOST = 16  # own features of a token
+RADIUS = 4  # of a window
+LONGEST = 1000  # characters of a token in a window
 
 #: Words that announce a secret.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "private")
 
+#: Spellings of the signs of a mail address.
+SPELT = ("[at]", "(at)", "{at}", "[dot]", "(dot)", "{dot}")
+
 #: What sets a token apart from plain words and marks; see token_class.
 SPECIAL_CHARS = "0123456789@=:"
 
@@ -38,7 +48,7 @@ def special(text: str) -> bool:
     if any(c in text for c in SPECIAL_CHARS):
         return True
     low = text.lower()
-    return any(k in low for k in KEYWORDS)
+    return any(k in low for k in KEYWORDS) or any(k in low for k in SPELT)
 
 
 _RUNS = re.compile(r"(.)\1+")
@@ -51,7 +61,7 @@ def shape(token: str) -> str:
 
 
 def token_class(token: str, digits: int) -> int:
-    if "@" in token:
+    if "@" in token or any(k in token.lower() for k in SPELT):
         return AT
     if digits:
         return PLUS if token[0] == "+" else BRACKET if token[0] == "(" else LONG if len(token) >= 12 else FEW
@@ -63,6 +73,20 @@ def token_class(token: str, digits: int) -> int:
     return WORD if any(c.isalpha() for c in token) else PUNCT
 
 
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+TRIM = "\"'`,;:=()[]{}<>!?.*#%&$|"
+_PARTS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]")
+_LETTERS = re.compile(r"[a-z]+")
+_OTHER = re.compile(r"[a-zA-Z0-9]+")
+
+
 def describe(token: str) -> tuple[list[int], int]:
     """Buckets of a token's own features, and its class."""
     digits = sum(c in "0123456789" for c in token)
@@ -70,12 +94,24 @@ def describe(token: str) -> tuple[list[int], int]:
     n = len(token)
     names = [f"k{kind}"]
     if kind not in (WORD, PUNCT):
-        names += [f"d{min(digits, 24) // 2}", f"m{min(9, digits * 10 // n)}", f"n{min(n, 48) // 4}"]
+        core = token.strip(TRIM) or token
+        m = len(core)
+        low = core.lower()
+        names += [f"d{min(digits, 24) // 2}", f"m{min(9, digits * 10 // n)}", f"n{min(m, 48) // 4}"]
         names.append("s" + shape(token))
-        names.append(f"h{all(c in '0123456789abcdef' for c in token.strip(chr(34) + chr(39)))}{n >= 16}")
+        names.append(f"h{all(c in '0123456789abcdef' for c in core)}{m >= 16}")
         names.append("p" + re.sub("[0-9]", "9", token[:4]))
-        names.append(f"v{'=' in token}{any(k in token.lower() for k in KEYWORDS)}")
-        names.append(f"o{token.count('.')}{token.count('-')}")
+        names.append(f"v{'=' in token}{any(k in low for k in KEYWORDS)}")
+        names.append(f"o{token.count('.')}{token.count('-')}{min(token.count(':'), 9)}")
+        kinds = f"{any(c.isupper() for c in core):d}{any(c.islower() for c in core):d}{any(c in '0123456789' for c in core):d}"
+        names.append(f"c{kinds}{min(m, 48) // 8}")
+        names.append(f"t{kinds}{min(9, len(_PARTS.findall(core)) * 10 // m)}{m >= 12}")
+        names.append(f"e{len(set(core)) * 8 // m}{min(m, 48) // 8}")
+        names.append(f"z{min(8, max(map(len, _LETTERS.findall(low)), default=0))}{min(m, 32) // 8}")
+        names.append("w" + "".join(sorted(set(_OTHER.sub("", core))))[:6] + str(m >= 16))
+        names.append(f"l{'://' in low or low.startswith('www.')}{'/' in core}")
+        number = 13 <= digits <= 19 and not any(c.isalpha() for c in core)
+        names.append(f"u{number}{number and luhn(''.join(c for c in core if c in '0123456789'))}")
     return [zlib.crc32(x.encode()) % BUCKETS for x in names], kind
 
 
@@ -83,63 +119,143 @@ def describe(token: str) -> tuple[list[int], int]:
 class Weights:
     rows: np.ndarray  # ROWS x labels
     trans: np.ndarray  # labels x labels; outside stands at both ends of a text
+    skip: np.ndarray  # by label, for alike and for equal tokens that both have it
+
+
+@dataclass
+class Window:
+    """Tokens around a place, with one more at either end for its class; None stands beyond the text."""
 
+    words: list[str | None]
+    tags: list[int]
+    file: int
 
-def fit(tokens: list[list[str]], labels: list[list[int]], kinds: int, radius: int = 4, max_windows: int = 6000, steps: int = 60, bound: float = 0.75, seed: int = 0) -> Weights:
-    """Weights from labelled texts. Windows around labelled tokens, tokens with digits or signs, and random ones."""
-    rng = np.random.default_rng(seed)
+    def with_words(self, changes: dict[int, str], tags: dict[int, int]) -> Window:
+        """A copy with other tokens and labels at some places."""
+        return Window([changes.get(i, w) for i, w in enumerate(self.words)], [tags.get(i, t) for i, t in enumerate(self.tags)], self.file)
+
+
+SPAN = RADIUS + 1  # the place in the middle of a window
+
+
+def windows_of(words: list[str], tags: list[int], seed: int, plain: int = 6, most: int = 64) -> list[Window]:
+    """Windows around at most ``most`` places of a text: labelled tokens, special ones, and ``plain`` random ones. Windows with a token over LONGEST characters are left out."""
+    rng = random.Random(seed)
+    kinds = [describe(w)[1] if special(w) else WORD for w in words]
+    hot = [i for i, k in enumerate(kinds) if tags[i] or k not in (WORD, PUNCT)]
+    some = [rng.randrange(len(words)) for _ in range(min(len(words), plain))] if words else []
+    picks = sorted({*(rng.sample(hot, most - plain) if len(hot) > most - plain else hot), *some})
+    file = file_bucket(kinds)
+    pad = [None] * SPAN
+    around, labels = [*pad, *words, *pad], [*[0] * SPAN, *tags, *[0] * SPAN]
+    out = [Window(around[i : i + 2 * SPAN + 1], labels[i : i + 2 * SPAN + 1], file) for i in picks]
+    return [w for w in out if all(x is None or len(x) <= LONGEST for x in w.words)]
+
+
+def sampled(docs: DataFrame, hint: Column, labelled: Callable[[str], tuple[list[str], list[int]]], texts: int, windows: int) -> list[Window]:
+    """At most ``windows`` windows of at most ``texts`` different whole texts, half of the texts with the hint.
+
+    Those with the smallest hashes are taken, so copies of a text count once. Texts stay on the executors; only windows reach the driver.
+    """
+    rows = docs.select("text").where("text is not null").select("text", F.xxhash64("text").alias("h"), hint.alias("hint"))
+
+    def last(df: DataFrame) -> int | None:
+        return df.select("h").distinct().orderBy("h").limit(max(1, texts // 2)).agg(F.max("h")).first()[0]  # only hashes are shuffled
+
+    a, b = last(rows.where("hint")), last(rows)
+    if b is None:
+        return []
+    few = rows.where((F.col("h") <= b) | (F.col("hint") & (F.col("h") <= (b if a is None else a))))
+    once = few.groupBy("h").agg(F.first("text").alias("text"))  # at most ``texts`` rows
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, text in zip(batch["h"], batch["text"], strict=True):
+                found = windows_of(*labelled(text), h)
+                order = random.Random(h)
+                yield pd.DataFrame({"k": [order.getrandbits(62) for _ in found], "words": [w.words for w in found], "tags": [w.tags for w in found], "file": [w.file for w in found]})
+
+    got = once.mapInPandas(cut, "k long, words array<string>, tags array<int>, file int").orderBy("k").limit(windows).collect()
+    return [Window(list(r["words"]), list(r["tags"]), r["file"]) for r in got]
+
+
+@dataclass
+class Pairs:
+    """Linked places of windows: the middles of ``first`` and ``second``; ``equal`` tells equal tokens from alike ones."""
+
+    first: list[Window] = field(default_factory=list)
+    second: list[Window] = field(default_factory=list)
+    equal: list[bool] = field(default_factory=list)
+
+    def add(self, a: Window, b: Window, equal: bool) -> None:
+        self.first.append(a), self.second.append(b), self.equal.append(equal)
+
+
+def encoded(windows: list[Window]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of every place of every window, and its label; places beyond a text have the padding row."""
     known: dict[str, tuple[list[int], int]] = {}
-    picks: list[tuple[int, int]] = []
-    for t, (words, tags) in enumerate(zip(tokens, labels, strict=True)):
-        for w in words:
-            if w not in known:
-                known[w] = describe(w)
-        hot = [i for i, w in enumerate(words) if tags[i] or known[w][1] not in (WORD, PUNCT)]
-        some = rng.integers(0, len(words), min(len(words), 6)).tolist() if words else []
-        picks += [(t, i) for i in {*hot, *some}]
-    trans = np.zeros((kinds, kinds))
-    rows = np.zeros((ROWS, kinds))
-    for kind in (WORD, PUNCT):  # a prior: plain words and marks stand outside
-        rows[zlib.crc32(f"k{kind}".encode()) % BUCKETS, 0] = PRIOR
-    if not picks:
-        return Weights(rows - rows[:, :1], trans)
-    picks = [picks[i] for i in rng.permutation(len(picks))[:max_windows]]
-    width = 2 * radius + 1
-    x = np.full((len(picks), width, MOST + 3), NONE)
-    y = np.zeros((len(picks), width), np.int64)
-    for k, (t, i) in enumerate(picks):
-        words, tags = tokens[t], labels[t]
-        file = file_bucket(known[w][1] for w in words)
+    width = 2 * RADIUS + 1
+    x, y = np.full((len(windows), width, MOST + 3), NONE), np.zeros((len(windows), width), np.int64)
+    for k, w in enumerate(windows):
+        for word in w.words:
+            if word is not None and word not in known:
+                known[word] = describe(word)
+        kinds = [EDGE if word is None else known[word][1] for word in w.words]
         for j in range(width):
-            at = i - radius + j
-            if 0 <= at < len(words):
-                own = known[words[at]][0]
+            word = w.words[j + 1]
+            if word is not None:
+                own = known[word][0]
                 x[k, j, : len(own)] = own
-                x[k, j, MOST] = BEFORE + (known[words[at - 1]][1] if at else EDGE)
-                x[k, j, MOST + 1] = AFTER + (known[words[at + 1]][1] if at + 1 < len(words) else EDGE)
-                x[k, j, MOST + 2] = FILE + file
-                y[k, j] = tags[at]
-    n = len(picks)
-    params = [rows, trans]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    flat = x.reshape(n * width, -1)
+                x[k, j, MOST:] = BEFORE + kinds[j], AFTER + kinds[j + 2], FILE + w.file
+                y[k, j] = w.tags[j + 1]
+    return x, y
+
+
+def fit(windows: list[Window], kinds: int, pairs: Pairs | None = None, steps: int = 60, bound: float = 1.0, strongest: float = 4.0) -> Weights:
+    """Weights from labelled windows and linked pairs; agreeing labels of a pair weigh at most ``strongest``."""
+    trans, rows, skip = np.zeros((kinds, kinds)), np.zeros((ROWS, kinds)), np.zeros((2, kinds))
+    fixed = [zlib.crc32(f"k{kind}".encode()) % BUCKETS for kind in (WORD, PUNCT)]
+    rows[fixed, 0] = PRIOR  # plain words and marks stand outside
+    if not windows:
+        return Weights(rows - rows[:, :1], trans, skip)
+    x, y = encoded(windows)
+    n, width = y.shape
+    pairs = pairs if pairs and pairs.first else Pairs([windows[0]], [windows[0]], [True])
+    (xa, ya), (xb, yb) = encoded(pairs.first), encoded(pairs.second)
+    la, lb, kind = np.eye(kinds)[ya[:, RADIUS]], np.eye(kinds)[yb[:, RADIUS]], np.array(pairs.equal, np.int64)
+    # places that are described alike share their sums
+    places, of = np.unique(np.concatenate([x.reshape(n * width, -1), xa[:, RADIUS], xb[:, RADIUS]]), axis=0, return_inverse=True)
+    of = of.ravel()
+    in_chain, in_a, in_b = of[: n * width], of[n * width : n * width + len(kind)], of[n * width + len(kind) :]
     seen = np.eye(kinds)[y]
+    params = [rows, trans, skip]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def summed(at: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, d[:, k], size) for k in range(kinds)], 1)
+
     for step in range(1, steps + 1):
-        emit = rows[x].sum(2)
-        node, pair = marginals(emit, trans)
-        d = (seen - node).reshape(n * width, kinds)
-        g = np.stack([np.bincount(flat.ravel(), np.repeat(d[:, k], flat.shape[1]), ROWS) for k in range(kinds)], 1) / n
-        g[NONE] = 0
+        emit = rows[places].sum(1)
+        node, pair = marginals(emit[in_chain].reshape(n, width, kinds), trans)
         gt = (np.einsum("nti,ntj->ij", seen[:, :-1], seen[:, 1:]) - pair) / n
-        for p, gr, a, b in zip(params, (g, gt), m, v, strict=True):
+        joint = emit[in_a][:, :, None] + emit[in_b][:, None, :] + skip[kind][:, :, None] * np.eye(kinds)
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        joint /= joint.sum((1, 2), keepdims=True)
+        gs = summed(kind, la * lb - np.diagonal(joint, axis1=1, axis2=2), 2) / len(kind)
+        each = summed(in_chain, (seen - node).reshape(n * width, kinds), len(places)) / n
+        each += (summed(in_a, la - joint.sum(2), len(places)) + summed(in_b, lb - joint.sum(1), len(places))) / len(kind)
+        g = summed(places.ravel(), np.repeat(each, places.shape[1], axis=0), ROWS)
+        g[[*fixed, NONE]] = 0
+        for p, gr, a, b in zip(params, (g, gt, gs), m, v, strict=True):
             a += 0.1 * (gr - a)
             b += 0.01 * (gr * gr - b)
             p += 0.2 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         rows *= 1 - 1e-4
         np.clip(trans, -bound, bound, out=trans)
         np.clip(rows[BEFORE:NONE], -bound, bound, out=rows[BEFORE:NONE])
+        np.clip(skip, 0, strongest, out=skip)
     rows -= rows[:, :1]  # only differences count
-    return Weights(rows, trans)
+    return Weights(rows, trans, skip)
 
 
 def logsum(x: np.ndarray, axis: int) -> np.ndarray:

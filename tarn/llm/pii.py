@@ -2,12 +2,18 @@
 
 Tokens carry a label (outside, email, ip, card, phone). Neighbours share chain potentials; tokens of a document that are
 equal, or alike in shape and beginning, share skip potentials that favour one label however far apart they
-stand. Loopy belief propagation runs over all documents of a batch at once. Each token is linked to the next
-of its group only, so a group of n tokens has n - 1 links.
+stand; their weights are fitted with the rest, as pieces of the likelihood. Loopy belief propagation runs over all documents
+of a batch at once, each until its own messages settle. Each token is linked to the next of its group only, so a group of n
+tokens has n - 1 links. Tokens that a base pattern covers are observed: the field spreads their labels, it can't change them.
+
+The field learns from windows of a bounded sample labelled by the base patterns, and from altered copies with other
+forms of such data or harmless tokens (``forms``), so that it goes beyond the patterns.
 """
 
 from __future__ import annotations
 
+import ipaddress
+import random
 import re
 from collections.abc import Iterator
 
@@ -16,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import crf
-from tarn.llm.secret_scan import sample_texts, span_text
+from tarn.llm import crf, forms
+from tarn.llm.crf import luhn
+from tarn.llm.secret_scan import span_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,14 +37,6 @@ DIGIT = re.compile("[0-9]")
 LINKED = frozenset((crf.FEW, crf.LONG, crf.AT, crf.PLUS, crf.BRACKET))
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 if d > 9 else d
-    return total % 10 == 0
-
-
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of local@domain, found from each @ outwards."""
     end = 0
@@ -78,15 +77,29 @@ def labelled(text: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
-#: Digits that a found span of a kind can hold; others are not personal data of that kind whatever the field says.
-DIGITS = {1: (4, 12), 2: (13, 19), 3: (9, 15)}
+EDGES = "\"'`,;:()[]{}<>!#*%&$|."
+#: Phone numbers may begin with a bracket.
+LEFT = {3: "\"'`,;:)[]{}<>!#*%&$|."}
+
+
+def address(piece: str) -> bool:
+    try:
+        ipaddress.ip_address(piece)
+    except ValueError:
+        return False
+    return True
 
 
 def plausible(piece: str, kind: int) -> bool:
+    """What a found span of a kind must be whatever the field says: an address, a card's checksum, a phone's digits."""
+    digits = "".join(DIGIT.findall(piece))
     if kind == 0:
-        return "@" in piece
-    least, most = DIGITS[kind]
-    return least <= len(DIGIT.findall(piece)) <= most and not any(c.isalpha() for c in piece)
+        return crf.describe(piece)[1] == crf.AT and not piece.startswith("@")
+    if kind == 1:
+        return address(piece)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in piece)
+    return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in piece)
 
 
 def alike(token: str) -> str:
@@ -94,46 +107,96 @@ def alike(token: str) -> str:
     return crf.shape(token) + "\0" + token[:3]
 
 
-def train(docs: DataFrame, rows: int = 1200, chars: int = 20000) -> tuple[crf.Weights, float]:
-    """Chain weights, and the skip weight: log odds that linked tokens of the sample (of ``secret_scan.sample_texts``) have one label, between 0.5 and 3."""
+def altered(window: crf.Window, r: random.Random) -> crf.Window:
+    """A copy with personal data of another form in its middle, or a harmless token."""
+    mid = crf.SPAN
+    if r.random() < 0.5:
+        words = {mid: forms.card_number(r, valid=False) if r.random() < 0.1 else forms.harmless(r)}
+        if r.random() < 0.4:
+            words[mid + 1] = forms.harmless(r)
+        return window.with_words(words, {})
+    kind = r.randrange(len(KINDS))
+    parts = forms.spoken(r, forms.personal_value(r, kind))
+    at = mid - r.randrange(len(parts))
+    return window.with_words({at + i: w for i, w in enumerate(parts)}, {at + i: kind + 1 for i in range(len(parts))})
+
+
+def pairs_of(found: list[crf.Window], plain: list[crf.Window], r: random.Random, most: int) -> crf.Pairs:
+    """Linked places: a token of a window again amid other words, where nothing but the link tells its label; and alike tokens with labels of their own."""
+    mid, out = crf.SPAN, crf.Pairs()
+    known = [w for w in found if w.words[mid] and crf.numberlike(w.words[mid])]
+    if not plain:
+        return out
+    for _ in range(most):
+        if known and r.random() < 0.5:
+            a = r.choice(known)
+        else:
+            a = altered(r.choice(plain), r)
+        token, tag = a.words[mid], a.tags[mid]
+        if not token or not crf.numberlike(token):
+            continue
+        if r.random() < 0.6:
+            out.add(a, r.choice(plain).with_words({mid: token}, {mid: tag}), True)
+        else:  # a token alike: the last digits are others, so a checksum may fail
+            other = token[:3] + "".join(r.choice("0123456789") if c in "0123456789" else c for c in token[3:])
+            digits = "".join(DIGIT.findall(other))
+            of_kind = tag and (tag != 3 or (13 <= len(digits) <= 19 and luhn(digits)))
+            out.add(a, r.choice(plain).with_words({mid: other}, {mid: tag if of_kind else 0}), False)
+    return out
+
+
+def train(docs: DataFrame, texts: int = 1200, windows: int = 3000, copies: int = 5000, links: int = 2500, seed: int = 5) -> crf.Weights:
+    """Weights from at most ``windows`` windows of at most ``texts`` different whole texts, ``copies`` altered ones and ``links`` linked pairs; a bounded sample for training only."""
     hint = F.col("text").contains("@") | F.col("text").rlike("[0-9+][0-9.][0-9a-f. ()-]{6}")
-    got = [labelled(t) for t in sample_texts(docs, hint, rows, chars)]
-    agree = other = 1
-    for tokens, tags in got:
-        last: dict[str, int] = {}
-        for t, g in zip(tokens, tags, strict=True):
-            if crf.numberlike(t):
-                key = alike(t)
-                if key in last:
-                    agree, other = agree + (last[key] == g), other + (last[key] != g)
-                last[key] = g
-    return crf.fit([t for t, _ in got], [g for _, g in got], len(KINDS) + 1), float(np.clip(np.log(agree / other), 0.5, 3.0))
+    return fitted(crf.sampled(docs, hint, labelled, texts, windows), copies, links, seed)
+
+
+def fitted(found: list[crf.Window], copies: int = 5000, links: int = 2500, seed: int = 5) -> crf.Weights:
+    """Weights from windows, ``copies`` altered copies of those without personal data, and ``links`` pairs."""
+    r = random.Random(seed)
+    plain = [w for w in found if not any(w.tags) and all(w.words)]
+    made = [altered(r.choice(plain), r) for _ in range(copies if plain else 0)]
+    return crf.fit(found + made, len(KINDS) + 1, pairs_of(found, plain, r, links))
 
 
-def propagate(unary: np.ndarray, edges: np.ndarray, kind: np.ndarray, pots: np.ndarray, rounds: int = 12, damp: float = 0.5) -> np.ndarray:
-    """Beliefs (nodes, labels) by loopy sum-product; edge i joins edges[i] with the potential pots[kind[i]]."""
+def propagate(unary: np.ndarray, edges: np.ndarray, kind: np.ndarray, pots: np.ndarray, doc: np.ndarray | None = None, rounds: int = 1000, damp: float = 0.3) -> np.ndarray:
+    """Beliefs (nodes, labels) by loopy sum-product; edge i joins edges[i] with the potential pots[kind[i]].
+
+    ``doc`` is the document of each node: its messages pass until they settle, whatever other documents need. ``rounds`` ends
+    loops that never settle.
+    """
     if not len(edges):
         return unary
     a, b = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     pot = np.concatenate([pots[kind], pots[kind].transpose(0, 2, 1)])  # from label, to label
     back = np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
+    doc = np.zeros(len(unary), np.int64) if doc is None else doc
+    of = doc[a]
     msg = np.zeros((len(a), unary.shape[1]))
-    belief = unary
+    belief = unary.copy()
+    live = np.arange(len(a))
     for _ in range(rounds):
-        new = crf.logsum((belief[a] - msg[back])[:, :, None] + pot, 1)
+        new = crf.logsum((belief[a[live]] - msg[back[live]])[:, :, None] + pot[live], 1)
         new -= new.max(1, keepdims=True)
-        msg = damp * msg + (1 - damp) * new
-        belief = unary.copy()
-        np.add.at(belief, b, msg)
-        if np.abs(new - msg).max() < 1e-3:
+        step = (1 - damp) * (new - msg[live])
+        msg[live] += step
+        np.add.at(belief, b[live], step)
+        moved = np.zeros(int(doc.max()) + 1, bool)
+        np.logical_or.at(moved, of[live], np.abs(step).max(1) > 1e-3)
+        live = live[moved[of[live]]]
+        if not len(live):
             break
     return belief
 
 
-def added_spans(texts: list[str], table: crf.Table, skip: float, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+#: Log odds of the label of a token that a base pattern covers.
+OBSERVED = 30.0
+
+
+def added_spans(texts: list[str], table: crf.Table, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """For each text, the spans that the field finds and that touch no base span."""
-    trans = table.w.trans
-    unary, edges, kinds, where, count = [], [], [], [], 0
+    trans, skip = table.w.trans, table.w.skip
+    unary, edges, kinds, docs, where, count = [], [], [], [], [], 0
     for d, text in enumerate(texts):
         if table.skips and not crf.special(text):
             continue
@@ -146,59 +209,78 @@ def added_spans(texts: list[str], table: crf.Table, skip: float, base: list[list
         near = np.diff(at) == 1
         u[np.r_[True, ~near]] += trans[0]  # outside before
         u[np.r_[~near, True]] += trans[:, 0]
+        if base[d]:
+            place = {int(i): j for j, i in enumerate(at)}
+            spans, k = sorted(base[d]), 0
+            for i, m in enumerate(crf.TOKEN.finditer(text)):
+                while k < len(spans) and spans[k][1] <= m.start():
+                    k += 1
+                if k == len(spans):
+                    break
+                if spans[k][0] < m.end() and i in place:
+                    u[place[i], spans[k][2] + 1] += OBSERVED
         unary.append(u)
         last: dict[str, int] = {}
         for j, i in enumerate(at.tolist()):
             if j and near[j - 1]:
                 edges.append((count + j - 1, count + j)), kinds.append(0)
             if table.kind[ids[i]] in LINKED:
-                for key in (words[i], alike(words[i])):
-                    if key in last and last[key] != count + j:
-                        edges.append((last[key], count + j)), kinds.append(1)
+                word = words[i].strip(crf.TRIM) or words[i]
+                before = last.get(word)
+                for key, kind in ((word, 2), (alike(word), 1)):
+                    if key in last and last[key] != count + j and not (kind == 1 and last[key] == before):
+                        edges.append((last[key], count + j)), kinds.append(kind)
                     last[key] = count + j
         where.append((d, at, count))
+        docs.append(np.full(len(at), len(docs)))
         count += len(at)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not count:
         return out
-    labels = propagate(np.concatenate(unary), np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64), np.stack([trans, skip * np.eye(len(trans))])).argmax(1)
+    pots = np.stack([trans, np.diag(skip[0]), np.diag(skip[1])])
+    labels = propagate(np.concatenate(unary), np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64), pots, np.concatenate(docs)).argmax(1)
     for d, at, first in where:
         got = labels[first : first + len(at)]
         if got.any():
             tags = dict(zip(at[got > 0].tolist(), got[got > 0].tolist(), strict=True))
             spans: list[tuple[int, int, int]] = []
-            last = -2
-            for i, m in enumerate(crf.TOKEN.finditer(texts[d])):
+            last_at, text = -2, texts[d]
+            for i, m in enumerate(crf.TOKEN.finditer(text)):
                 if i in tags:
-                    kind = tags[i] - 1
-                    if last == i - 1 and spans[-1][2] == kind:
+                    kind, inside = tags[i] - 1, any(a < m.end() and m.start() < b for a, b, _ in base[d])
+                    if inside:
+                        continue
+                    if last_at == i - 1 and spans[-1][2] == kind:
                         spans[-1] = (spans[-1][0], m.end(), kind)
                     else:
                         spans.append((m.start(), m.end(), kind))
-                    last = i
-            out[d] = [(s, e, k) for s, e, k in spans if plausible(texts[d][s:e], k) and not any(a < e and s < b for a, b, _ in base[d])]
+                    last_at = i
+            for s, e, k in spans:
+                piece = text[s:e]
+                s, e = s + len(piece) - len(piece.lstrip(LEFT.get(k, EDGES))), e - len(piece) + len(piece.rstrip(EDGES))
+                if s < e and plausible(text[s:e], k):
+                    out[d].append((s, e, k))
     return out
 
 
-def with_personal(df: DataFrame, model: tuple[crf.Weights, float], text_col: str = "text", name: str = "personal") -> DataFrame:
+def with_personal(df: DataFrame, weights: crf.Weights, text_col: str = "text", name: str = "personal") -> DataFrame:
     """``df`` with array<struct<start, end, kind, base>> of code-point spans of each whole text, by kind and start.
 
     ``base`` tells whether a pattern or the field found the span. A null text is the empty one and has no span. An
     input column of that name is replaced. Repeated rows are scanned each.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = df.sparkSession.sparkContext.broadcast(weights)  # a fixed number of weights
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string,base:boolean>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, skip = shared.value
-        table = crf.Table(weights, always=LINKED.__contains__)
+        table = crf.Table(shared.value, always=LINKED.__contains__)
         for column in batches:
             out = []
             for lo in range(0, len(column), 256):
                 table.room()
                 texts = [t or "" for t in column.iloc[lo : lo + 256]]
                 base = [base_spans(t) for t in texts]
-                for b, more in zip(base, added_spans(texts, table, skip, base), strict=True):
+                for b, more in zip(base, added_spans(texts, table, base), strict=True):
                     spans = sorted([(k, s, e, True) for s, e, k in b] + [(k, s, e, False) for s, e, k in more])
                     out.append([{"start": s, "end": e, "kind": KINDS[k], "base": is_base} for k, s, e, is_base in spans])
             yield pd.Series(out)
@@ -223,4 +305,4 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_personal(docs, train(docs)).select("doc_id", "personal").withColumn("base", F.expr("filter(personal, s -> s.base)"))
     count = lambda kind: F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("personal").alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("personal").alias("spans"), F.size("personal").cast("long").alias("n_spans"))

@@ -1,13 +1,15 @@
 """Secrets: base patterns, and a linear-chain conditional random field that adds spans to them.
 
 The field tags white-space tokens outside, begin or inside of a secret from the token's shape, the classes of the
-tokens beside it and features of the file. It learns from a bounded sample of texts labelled by the base
-patterns and is decoded by Viterbi; tokens that are outside in every best labelling are left out beforehand.
+tokens beside it and features of the file. It learns from windows of a bounded sample labelled by the base
+patterns and from altered copies of them in which keywords, signs and values have other forms, or harmless tokens stand
+instead (``forms``), so that it goes beyond the patterns. It is decoded by Viterbi; tokens that are outside in every best
+labelling are left out beforehand.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import crf
+from tarn.llm import crf, forms
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,7 +29,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_BYTES = bytes(48 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 HEX_RUN = b"0" * 16
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-TRIM = "\"'`,;:=()[]{}<>"
+EDGES = "\"'`,;:()[]{}<>!#*%&$|."
+LEAST = 8  # characters of a secret's value
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,23 +60,37 @@ def labelled(text: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
-def sample_texts(docs: DataFrame, hint: F.Column, rows: int, chars: int = 20000) -> list[str]:
-    """At most ``rows`` texts, half of them with the hint: of the different texts those with the smallest hashes, the first ``chars`` characters of each."""
-    texts = docs.select(F.substring("text", 1, chars).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
-
-    def smallest(df: DataFrame) -> list[str]:
-        last = df.select("h").distinct().orderBy("h").limit(rows // 2).agg(F.max("h")).first()[0]  # only hashes are shuffled
-        return [] if last is None else [r["text"] for r in df.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()]
-
-    return smallest(texts.where(hint)) + smallest(texts)
-
-
-def train(docs: DataFrame, rows: int = 1200, chars: int = 20000) -> crf.Weights:
-    """Weights from the first ``chars`` characters of at most ``rows`` different texts; a bounded sample for training only."""
+def altered(window: crf.Window, r: random.Random) -> crf.Window:
+    """A copy with another secret around its middle, or with harmless tokens there."""
+    mid = crf.SPAN
+    if r.random() < 0.45:
+        words, tags = {mid: forms.harmless(r)}, {mid: OUTSIDE}
+        if r.random() < 0.35:  # a keyword that announces nothing
+            words[mid - 1], tags[mid - 1] = r.choice(forms.KEY_WORDS) + r.choice(("", "", ":")), OUTSIDE
+        if r.random() < 0.5:
+            words[mid + 1], tags[mid + 1] = forms.harmless(r), OUTSIDE
+        return window.with_words(words, tags)
+    value = forms.spoken(r, [forms.secret_value(r)])[0]
+    if r.random() < 0.4:
+        return window.with_words({mid: value}, {mid: BEGIN})
+    key, sign = r.choice(forms.KEY_WORDS), r.choice(forms.SIGNS)
+    if not sign:
+        return window.with_words({mid - 1: key + r.choice(("", ":", "=")), mid: value}, {mid - 1: BEGIN, mid: INSIDE})
+    return window.with_words({mid - 2: key, mid - 1: sign, mid: value}, {mid - 2: BEGIN, mid - 1: INSIDE, mid: INSIDE})
+
+
+def train(docs: DataFrame, texts: int = 1200, windows: int = 3000, copies: int = 5000, seed: int = 3) -> crf.Weights:
+    """Weights from at most ``windows`` windows of at most ``texts`` different whole texts, and ``copies`` altered ones; a bounded sample for training only."""
     text = F.col("text")
     hint = text.contains("AKIA") | text.contains("password") | text.contains("secret") | text.contains("token") | text.rlike("[0-9][0-9a-f]{15}")
-    got = [labelled(t) for t in sample_texts(docs, hint, rows, chars)]
-    return crf.fit([t for t, _ in got], [g for _, g in got], 3)
+    return fitted(crf.sampled(docs, hint, labelled, texts, windows), copies, seed)
+
+
+def fitted(found: list[crf.Window], copies: int = 5000, seed: int = 3) -> crf.Weights:
+    """Weights from windows and ``copies`` altered copies of those without a secret."""
+    r = random.Random(seed)
+    plain = [w for w in found if not any(w.tags) and all(w.words)]
+    return crf.fit(found + [altered(r.choice(plain), r) for _ in range(copies if plain else 0)], 3)
 
 
 def added_spans(text: str, table: crf.Table, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -107,14 +124,15 @@ def added_spans(text: str, table: crf.Table, base: list[tuple[int, int, int]]) -
     found = []
     for start, end, kind in out:
         piece = text[start:end]
-        start, end = start + len(piece) - len(piece.lstrip(TRIM)), end - len(piece) + len(piece.rstrip(TRIM))
-        if start < end and not any(s < end and start < e for s, e, _ in base):
+        start, end = start + len(piece) - len(piece.lstrip(EDGES)), end - len(piece) + len(piece.rstrip(EDGES))
+        if plausible(text[start:end]) and not any(s < end and start < e for s, e, _ in base):
             found.append((start, end, kind))
     return found
 
 
-def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
-    return ",".join(f"{kinds[k]}:{s}:{e}" for s, e, k in spans)
+def plausible(piece: str) -> bool:
+    """Whether some token of a found piece can be a secret's value: long enough, and not only digits, marks or letters of one case."""
+    return any(len(w) >= LEAST and sum((any(c.isdigit() for c in w), any(c.islower() for c in w), any(c.isupper() for c in w))) > 1 for w in piece.split())
 
 
 def with_secrets(df: DataFrame, weights: crf.Weights, text_col: str = "text", name: str = "secrets") -> DataFrame:
@@ -150,4 +168,4 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_secrets(docs, train(docs)).select("doc_id", "secrets").withColumn("base", F.expr("filter(secrets, s -> s.kind <> 'crf')"))
     count = lambda kind: F.size(F.expr(f"filter(secrets, s -> s.kind = '{kind}')")).cast("long")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("secrets").alias("spans"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("secrets").alias("spans"), F.size("secrets").cast("long").alias("n_spans"))
