@@ -3,8 +3,8 @@
 Labels are 0 (outside) and kinds above. A token's features come from its own shape, from the classes of its
 neighbours and from its file; every potential is a sum of weights; those of neighbours, files and label pairs are
 bounded, so that a token's own shape can settle its label. Weights are fitted by full-batch gradient ascent on a
-piecewise conditional likelihood: chains are the windows of a bounded sample and altered copies of them, and linked
-pairs of tokens are pieces of their own, whose two potentials share a weight for agreeing labels.
+conditional likelihood in two pieces: chains are the windows of a bounded sample and altered copies of them; linked
+tokens give the weights of agreeing labels, by the likelihood of the second one's label given the first one's.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def sampled(docs: DataFrame, hint: Column, labelled: Callable[[str], tuple[list[
             for h, text in zip(batch["h"], batch["text"], strict=True):
                 found = windows_of(*labelled(text), h)
                 order = random.Random(h)
-                yield pd.DataFrame({"k": [order.getrandbits(62) for _ in found], "words": [w.words for w in found], "tags": [w.tags for w in found], "file": [w.file for w in found]})
+                if found:
+                    yield pd.DataFrame({"k": [order.getrandbits(62) for _ in found], "words": [w.words for w in found], "tags": [w.tags for w in found], "file": [w.file for w in found]})
 
     got = once.mapInPandas(cut, "k long, words array<string>, tags array<int>, file int").orderBy("k").limit(windows).collect()
     return [Window(list(r["words"]), list(r["tags"]), r["file"]) for r in got]
@@ -211,7 +212,7 @@ def encoded(windows: list[Window]) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def fit(windows: list[Window], kinds: int, pairs: Pairs | None = None, steps: int = 60, bound: float = 1.0, strongest: float = 4.0) -> Weights:
+def fit(windows: list[Window], kinds: int, pairs: Pairs | None = None, steps: int = 60, bound: float = 1.0, strongest: float = 8.0) -> Weights:
     """Weights from labelled windows and linked pairs; agreeing labels of a pair weigh at most ``strongest``."""
     trans, rows, skip = np.zeros((kinds, kinds)), np.zeros((ROWS, kinds)), np.zeros((2, kinds))
     fixed = [zlib.crc32(f"k{kind}".encode()) % BUCKETS for kind in (WORD, PUNCT)]
@@ -221,14 +222,14 @@ def fit(windows: list[Window], kinds: int, pairs: Pairs | None = None, steps: in
     x, y = encoded(windows)
     n, width = y.shape
     pairs = pairs if pairs and pairs.first else Pairs([windows[0]], [windows[0]], [True])
-    (xa, ya), (xb, yb) = encoded(pairs.first), encoded(pairs.second)
+    (_, ya), (xb, yb) = encoded(pairs.first), encoded(pairs.second)
     la, lb, kind = np.eye(kinds)[ya[:, RADIUS]], np.eye(kinds)[yb[:, RADIUS]], np.array(pairs.equal, np.int64)
     # places that are described alike share their sums
-    places, of = np.unique(np.concatenate([x.reshape(n * width, -1), xa[:, RADIUS], xb[:, RADIUS]]), axis=0, return_inverse=True)
+    places, of = np.unique(np.concatenate([x.reshape(n * width, -1), xb[:, RADIUS]]), axis=0, return_inverse=True)
     of = of.ravel()
-    in_chain, in_a, in_b = of[: n * width], of[n * width : n * width + len(kind)], of[n * width + len(kind) :]
+    in_chain, in_b = of[: n * width], of[n * width :]
     seen = np.eye(kinds)[y]
-    params = [rows, trans, skip]
+    params = [rows, trans]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
 
     def summed(at: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
@@ -238,22 +239,23 @@ def fit(windows: list[Window], kinds: int, pairs: Pairs | None = None, steps: in
         emit = rows[places].sum(1)
         node, pair = marginals(emit[in_chain].reshape(n, width, kinds), trans)
         gt = (np.einsum("nti,ntj->ij", seen[:, :-1], seen[:, 1:]) - pair) / n
-        joint = emit[in_a][:, :, None] + emit[in_b][:, None, :] + skip[kind][:, :, None] * np.eye(kinds)
-        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-        joint /= joint.sum((1, 2), keepdims=True)
-        gs = summed(kind, la * lb - np.diagonal(joint, axis1=1, axis2=2), 2) / len(kind)
         each = summed(in_chain, (seen - node).reshape(n * width, kinds), len(places)) / n
-        each += (summed(in_a, la - joint.sum(2), len(places)) + summed(in_b, lb - joint.sum(1), len(places))) / len(kind)
         g = summed(places.ravel(), np.repeat(each, places.shape[1], axis=0), ROWS)
         g[[*fixed, NONE]] = 0
-        for p, gr, a, b in zip(params, (g, gt, gs), m, v, strict=True):
+        for p, gr, a, b in zip(params, (g, gt), m, v, strict=True):
             a += 0.1 * (gr - a)
             b += 0.01 * (gr * gr - b)
             p += 0.2 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         rows *= 1 - 1e-4
         np.clip(trans, -bound, bound, out=trans)
         np.clip(rows[BEFORE:NONE], -bound, bound, out=rows[BEFORE:NONE])
-        np.clip(skip, 0, strongest, out=skip)
+    # the second of a pair given the label of the first: one weight a label and kind of link, by Newton's method
+    emit = rows[places].sum(1)[in_b]
+    for _ in range(40):
+        given = np.exp((e := emit + la * skip[kind]) - e.max(1, keepdims=True))
+        given /= given.sum(1, keepdims=True)
+        slope, bend = summed(kind, la * (lb - given), 2), summed(kind, la * given * (1 - given), 2)
+        skip = np.clip(skip + np.clip(slope / (bend + 1e-3), -1, 1), 0, strongest)
     rows -= rows[:, :1]  # only differences count
     return Weights(rows, trans, skip)
 

@@ -125,11 +125,13 @@ def pairs_of(found: list[crf.Window], plain: list[crf.Window], r: random.Random,
     """Linked places: a token of a window again amid other words, where nothing but the link tells its label; and alike tokens with labels of their own."""
     mid, out = crf.SPAN, crf.Pairs()
     known = [w for w in found if w.words[mid] and crf.numberlike(w.words[mid])]
+    personal = [w for w in known if w.tags[mid]]
     if not plain:
         return out
     for _ in range(most):
-        if known and r.random() < 0.5:
-            a = r.choice(known)
+        which = r.random()
+        if which < 0.7 and known:
+            a = r.choice(personal if which < 0.5 and personal else known)
         else:
             a = altered(r.choice(plain), r)
         token, tag = a.words[mid], a.tags[mid]
@@ -140,18 +142,18 @@ def pairs_of(found: list[crf.Window], plain: list[crf.Window], r: random.Random,
         else:  # a token alike: the last digits are others, so a checksum may fail
             other = token[:3] + "".join(r.choice("0123456789") if c in "0123456789" else c for c in token[3:])
             digits = "".join(DIGIT.findall(other))
-            of_kind = tag and (tag != 3 or (13 <= len(digits) <= 19 and luhn(digits)))
+            of_kind = tag and r.random() < 0.8 and (tag != 3 or (13 <= len(digits) <= 19 and luhn(digits)))
             out.add(a, r.choice(plain).with_words({mid: other}, {mid: tag if of_kind else 0}), False)
     return out
 
 
-def train(docs: DataFrame, texts: int = 1200, windows: int = 3000, copies: int = 5000, links: int = 2500, seed: int = 5) -> crf.Weights:
+def train(docs: DataFrame, texts: int = 1200, windows: int = 3000, copies: int = 5000, links: int = 4000, seed: int = 5) -> crf.Weights:
     """Weights from at most ``windows`` windows of at most ``texts`` different whole texts, ``copies`` altered ones and ``links`` linked pairs; a bounded sample for training only."""
     hint = F.col("text").contains("@") | F.col("text").rlike("[0-9+][0-9.][0-9a-f. ()-]{6}")
     return fitted(crf.sampled(docs, hint, labelled, texts, windows), copies, links, seed)
 
 
-def fitted(found: list[crf.Window], copies: int = 5000, links: int = 2500, seed: int = 5) -> crf.Weights:
+def fitted(found: list[crf.Window], copies: int = 5000, links: int = 4000, seed: int = 5) -> crf.Weights:
     """Weights from windows, ``copies`` altered copies of those without personal data, and ``links`` pairs."""
     r = random.Random(seed)
     plain = [w for w in found if not any(w.tags) and all(w.words)]
