@@ -11,13 +11,17 @@ anchor; equal windows have equal anchors at equal places. Neighbouring windows w
    meets another's, then by single windows, as counts of hashes; so an anchor that any share of all texts
    has is never gathered in one task.
 
-Copies of a whole text are one text throughout.
+Copies of a whole text are one text throughout. The same machinery finds repeated passages of words, on texts in which every
+word is four bytes (the CRC-32 of its UTF-8 form) and a window is a number of words.
+
+Places and lengths are 32-bit numbers: a text holds at most 2 GB, as a Spark string does.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,24 +159,50 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
 
 
-def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame, DataFrame]:
-    """For ``keyed`` documents: (k1, k2, copies) of every distinct text, and (k1, k2, spans, kept) of the texts that lose bytes.
+def as_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+WORD_BYTES = 4
+
+
+class WordBytes(dict):
+    """Texts with every word, a run without ASCII white space, as four bytes."""
+
+    LIMIT = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        x = self[word] = zlib.crc32(word)
+        return x
 
-    spans are the maximal removed runs (start, end in bytes), kept the remaining bytes.
+    def __call__(self, text: str) -> bytes:
+        if len(self) > self.LIMIT:
+            self.clear()
+        return np.array([self[w] for w in as_bytes(text).split()], "<u4").tobytes()
+
+
+def distinct_texts(docs: DataFrame, store: Staged) -> DataFrame:
+    """(k1, k2, copies, rep) of every text of ``keyed`` documents."""
+    return store.put(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("rep")))
+
+
+def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k: int, units: Callable[[], Callable[[str], bytes]]) -> tuple[DataFrame, DataFrame]:
+    """For ``keyed`` documents: one row (k1, k2, text) of each text that may lose bytes, and (k1, k2, spans) of those that do, unmerged.
+
+    ``units`` makes a function from a text to its bytes.
     """
     spark = docs.sparkSession
-    store = Staged(spark, "suffixes")
-    texts = store.put(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("rep")))
 
     # 1. anchors
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        encode = units()
         for b in chunks(batches):
             t, s, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if len(text) * 4 >= width and key not in seen:
                     seen.add(key)
-                    found, times = np.unique(segments(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), width, k)[1], return_counts=True)
+                    found, times = np.unique(segments(np.frombuffer(encode(text), np.uint8), width, k)[1], return_counts=True)
                     t.append(found), s.append(np.full(len(found), key)), m.append(np.minimum(times, 2))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (t, s, m)], ["t", "k1", "m"])
 
@@ -186,13 +216,14 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     # 2. segments of repeated anchors, sorted by what follows the anchor
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        encode = units()
         for b in chunks(batches, 64):
             out: dict[str, list] = defaultdict(list)
             for k1, k2, text, wanted_here in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k1, k2) in seen:
                     continue
                 seen.add((k1, k2))
-                data = text.encode("utf-8", "surrogatepass")
+                data = encode(text)
                 place, t, lo, hi = segments(np.frombuffer(data, np.uint8), width, k)
                 same: dict[bytes, int] = {}
                 for i in np.flatnonzero(np.isin(t, np.array(wanted_here))).tolist():
@@ -277,6 +308,12 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
     here = spans.select("k1", "k2", F.array(F.struct("start", "end")).alias("spans"))
     lost = here.unionAll(more).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
 
+    return source.select("k1", "k2", "text"), lost
+
+
+def kept_bytes(source: DataFrame, lost: DataFrame) -> DataFrame:
+    """(k1, k2, spans, kept) of the texts that lose bytes: the maximal removed runs (start, end), and the remaining bytes."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in chunks(batches):
@@ -285,7 +322,7 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
                 if (k1, k2) in seen:
                     continue
                 seen.add((k1, k2))
-                data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
+                data, at, kept = as_bytes(text), 0, []
                 gone = merged([(c["start"], c["end"]) for c in cuts])
                 for x, y in gone:
                     kept.append(data[at:x])
@@ -295,8 +332,22 @@ def repeats(docs: DataFrame, width: int = 400, k: int = 64) -> tuple[DataFrame,
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["k1", "k2", "spans", "kept"])
 
-    done = source.select("k1", "k2", "text").join(lost, ["k1", "k2"]).mapInArrow(keep, "k1 long, k2 long, spans array<struct<start:int,end:int>>, kept binary")
-    return texts.select("k1", "k2", "copies"), done
+    return source.join(lost, ["k1", "k2"]).mapInArrow(keep, "k1 long, k2 long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def passage_runs(docs: DataFrame, texts: DataFrame, store: Staged, words: int) -> DataFrame:
+    """(k1, k2, runs) of the texts that repeat passages of ``words`` words: how many maximal runs of words such passages cover."""
+    _, lost = lost_spans(docs, texts, store, words * WORD_BYTES, 32, WordBytes)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            runs = []
+            for spans in b["spans"]:
+                whole = [(-(-c["start"] // WORD_BYTES), c["end"] // WORD_BYTES) for c in spans]  # whole words
+                runs.append(len(merged([(x, y) for x, y in whole if y - x >= words])))
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "runs": runs})
+
+    return store.put(lost.mapInPandas(count, "k1 long, k2 long, runs long").where("runs > 0"))
 
 
 SEGMENT = {"lead": "long", "t": "long", "h": "long", "left": "int", "windows": "int", "seg": "binary", "k1": "long", "k2": "long", "los": "array<int>"}
@@ -336,31 +387,50 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row's id, n_bytes, spans (removed runs: start, end in bytes) and kept (remaining bytes).
 
     A string counts as repeated when it starts at any other place, in the same text or another. A null text is the empty one; texts
-    under ``width`` bytes and empty tables lose nothing; equal rows are copies of each other. Other columns are not read.
+    under ``width`` bytes and empty tables lose nothing; texts are whole however long (2 GB at most); equal rows are copies of each
+    other. Other columns are not read.
     """
+    store = Staged(df.sparkSession, "suffixes")
     docs = keyed(df, id_col, text_col)
-    texts, lost = repeats(docs, width)
+    texts = distinct_texts(docs, store)
+    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, lambda: as_bytes))
     data, n = F.encode("text", "UTF-8"), F.octet_length("text")
     whole = (F.col("copies") > 1) & (n >= width)
-    rows = docs.join(texts, ["k1", "k2"]).join(lost, ["k1", "k2"], "left")
+    rows = docs.join(texts.drop("rep"), ["k1", "k2"]).join(lost, ["k1", "k2"], "left")
     spans = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     return rows.select(F.col("id").alias(id_col), n.cast("long").alias("n_bytes"), spans.alias("spans"), F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", data)).alias("kept"))
 
 
-def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that repeated 400-byte strings cover, as digests; whole texts are digested before the join."""
+def many_words(text: str, words: int) -> F.Column:
+    """Whether a text has so many words; reads no further."""
+    return F.col(text).rlike(rf"^[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){{{words - 1}}}[^ \t-\r]")
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str, width: int = 400, words: int = 51) -> DataFrame:
+    """Every document without the bytes that repeated 400-byte strings cover, as digests; whole texts are digested before the join.
+
+    ``n_passages`` counts the maximal runs of words that repeated passages of over 50 words cover; such a passage may have under 400 bytes, so
+    a document can have some and lose nothing.
+    """
+    store = Staged(spark, "suffixes")
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    texts, lost = repeats(docs)
-    light = docs.select(F.col("id").alias("doc_id"), "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+    texts = distinct_texts(docs, store)
+    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, lambda: as_bytes))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
-    digests = lost.select("k1", "k2", removed.alias("removed"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("kept_sha"))
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= 400)
-    rows = light.join(texts, ["k1", "k2"]).join(digests, ["k1", "k2"], "left")
-    zero = F.lit(0).cast("long")
-    return rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", zero)).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("runs", zero)).alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+    digests = store.put(lost.select("k1", "k2", removed.alias("removed"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("kept_sha")))
+    store.drop(*[f"{store.root}/{i}" for i in range(2, store.n)])  # all but the texts and the digests
+    passages = passage_runs(docs, texts, store, words)
+    light = docs.select(F.col("id").alias("doc_id"), "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), many_words("text", words).alias("many"))
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
+    rows = light.join(texts.drop("rep"), ["k1", "k2"]).join(digests, ["k1", "k2"], "left").join(passages.withColumnRenamed("runs", "passages"), ["k1", "k2"], "left")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return store.final(
+        rows.select(
+            "doc_id",
+            "n_bytes",
+            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", zero)).alias("n_removed"),
+            F.when(whole, one).otherwise(F.coalesce("runs", zero)).alias("n_spans"),
+            F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+            F.when((F.col("copies") > 1) & F.col("many"), one).otherwise(F.coalesce("passages", zero)).alias("n_passages"),
+        )
     )
