@@ -10,13 +10,14 @@ m - q + 1 - e * q character q-grams with it, and those lie on diagonals at most
    every occurrence lies in one band whole; bands below the bound are dropped.
 3. Banded alignment of the segment against the band's text decides, and gives the span and its edits.
 
-The benchmark is collected in slices of at most ``slice_chars`` characters and each slice is sent to all executors;
-a larger benchmark takes more passes over the documents, so what is broadcast is bounded. Documents are never shuffled.
+The benchmark is collected in slices of at most ``slice_chars`` characters (longer items are cut into overlapping pieces) and each
+slice is sent to all executors; a larger benchmark takes more passes over the documents, each written before the next begins, so
+what is broadcast at once is bounded. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.common import Staged
+
 BASE = np.uint32(0x01000193)
 BITS = 22
 
@@ -181,13 +184,10 @@ def scan(x: np.ndarray, h: np.ndarray, g: Group, q: int) -> list[tuple[int, int,
     return out
 
 
-def leaks_in(text: str, groups: list[Group], q: int) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of the leaked passages of a text; spans of one item that touch are one, with the fewest edits of its segments."""
-    x = normal(text)
-    h = grams(x, q)
-    spans = sorted({(g.segments[s].item, a, b, e) for g in groups for s, a, b, e in scan(x, h, g, q)})
+def joined(spans: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Sorted (item, start, end, edits); spans of one item that touch are one, with the fewest edits of its parts."""
     out: list[tuple[int, int, int, int]] = []
-    for item, a, b, e in spans:
+    for item, a, b, e in sorted(spans):
         if out and out[-1][0] == item and a <= out[-1][2]:
             out[-1] = (item, out[-1][1], max(b, out[-1][2]), min(e, out[-1][3]))
         else:
@@ -195,15 +195,22 @@ def leaks_in(text: str, groups: list[Group], q: int) -> list[tuple[int, int, int
     return out
 
 
+def leaks_in(text: str, groups: list[Group], q: int) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of the leaked passages of a text."""
+    x = normal(text)
+    h = grams(x, q)
+    return joined({(g.segments[s].item, a, b, e) for g in groups for s, a, b, e in scan(x, h, g, q)})
+
+
 def searcher(shared: Broadcast, id_type: str, q: int, rate: float, segment: int) -> Callable[[Column], Column]:
-    """A Pandas UDF that finds a slice of the benchmark in texts."""
+    """A Pandas UDF that finds a slice of the benchmark in texts; ``item`` numbers the items that repeat an id apart."""
 
-    @F.pandas_udf(f"array<struct<item_id:{id_type},start:long,end:long,edits:int>>")
+    @F.pandas_udf(f"array<struct<item_id:{id_type},item:long,start:long,end:long,edits:int>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, texts = shared.value
+        ids, numbers, texts = shared.value
         groups = groups_of(texts, q, rate, segment)
         for column in batches:
-            yield pd.Series([[{"item_id": ids[i], "start": s, "end": e, "edits": n} for i, s, e, n in leaks_in(t or "", groups, q)] for t in column])
+            yield pd.Series([[{"item_id": ids[i], "item": numbers[i], "start": s, "end": e, "edits": n} for i, s, e, n in leaks_in(t or "", groups, q)] for t in column])
 
     return search
 
@@ -212,19 +219,51 @@ def with_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", name:
     """``docs`` with array<struct<item_id, start, end, edits>> of the leaked passages of each row (start, end in code points).
 
     ``bench`` has item_id and text. Null and empty texts on either side, and items under ``q`` characters, match nothing; of items
-    that repeat an id each counts. Repeated document rows are searched each. An input column of that name is replaced.
+    that repeat an id each counts; texts on either side are whole however long. Repeated document rows are searched each. An input
+    column of that name is replaced.
     """
     spark = docs.sparkSession
-    items = bench.select("item_id", "text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
-    slices = max(1, -(-int(chars) // slice_chars))
+    step = max(segment, slice_chars // 4 // segment * segment)  # a piece begins where a segment does, and holds those that start before the next
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("text") - segment) / F.lit(step)).cast("int") - 1))
+    items = bench.select("item_id", "text").where("text is not null").withColumn("item", F.xxhash64("item_id", "text"))
+    pieces = items.select("item_id", "item", "text", F.explode(cuts).alias("cut")).select("item_id", "item", F.substr("text", F.col("cut") * step + 1, F.lit(step + segment)).alias("text"))
+    chars = pieces.agg(F.sum(F.length("text") + F.lit(1))).first()[0] or 0
+    slices = max(1, -(-2 * int(chars) // slice_chars)) if chars > slice_chars else 1  # hashes deal unevenly: half full on average
     id_type = items.schema["item_id"].dataType.simpleString()
-    found = []
-    for k in range(slices):  # an item that is longer than a slice is a slice of its own at worst
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part]))
-        found.append(searcher(shared, id_type, q, rate, segment)(F.col(f"`{text_col}`")))
-    return docs.withColumn(name, F.concat(*found) if slices > 1 else found[0])
+    public = lambda c: F.transform(c, lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["end"].alias("end"), x["edits"].alias("edits")))
+
+    def slice_of(k: int) -> Broadcast:
+        part = pieces.where(F.pmod(F.xxhash64("item_id", "text", F.lit(7)), F.lit(slices)) == k).orderBy("item_id", "text").collect()
+        return spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["item"] for r in part], [r["text"] for r in part]))
+
+    if slices == 1:
+        return docs.withColumn(name, public(searcher(slice_of(0), id_type, q, rate, segment)(F.col(f"`{text_col}`"))))
+    store = Staged(spark, "leaks")
+    kept = [c for c in docs.columns if c != name]
+    rows = store.put(docs.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("_tarn_row", F.monotonically_increasing_id()))
+    found = None
+    for k in range(slices):
+        shared = slice_of(k)
+        one = store.put(rows.select("_tarn_row", searcher(shared, id_type, q, rate, segment)(F.col(f"`{text_col}`")).alias("leaks")).where(F.size("leaks") > 0))
+        shared.destroy()
+        found = one if found is None else found.unionAll(one)
+    kind = found.schema["leaks"].dataType
+
+    @F.pandas_udf(kind)
+    def united(column: pd.Series) -> pd.Series:
+        out = []
+        for leaks in column:
+            ids = {x["item"]: x["item_id"] for x in leaks}
+            out.append([{"item_id": ids[i], "item": i, "start": s, "end": e, "edits": n} for i, s, e, n in joined((x["item"], x["start"], x["end"], x["edits"]) for x in leaks)])
+        return pd.Series(out)
+
+    whole = found.groupBy(F.col("_tarn_row").alias("_tarn_at")).agg(F.flatten(F.collect_list("leaks")).alias("_tarn_leaks")).select("_tarn_at", united("_tarn_leaks").alias("_tarn_leaks"))  # of one document
+    none = F.expr(f"cast(array() as {public_type(id_type)})")
+    return rows.join(whole, F.col("_tarn_row") == F.col("_tarn_at"), "left").select(*[F.col(f"`{c}`") for c in kept], F.coalesce(public(F.col("_tarn_leaks")), none).alias(name))
+
+
+def public_type(id_type: str) -> str:
+    return f"array<struct<item_id:{id_type},start:bigint,end:bigint,edits:int>>"
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

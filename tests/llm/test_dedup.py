@@ -243,6 +243,64 @@ def test_op8_finds_every_exact_passage(spark, sf):
         assert distance(item[r["item_id"]].lower(), text[r["doc_id"]][max(0, r["start"] - 200) : r["end"] + 200].lower()) <= 0.08 * len(item[r["item_id"]]) + 40
 
 
+def sellers(pattern, text):
+    """Fewest edits of the whole pattern against any part of the text, the first end of such a part and its last start."""
+    cost, start = list(range(len(pattern) + 1)), [0] * (len(pattern) + 1)
+    best = (cost[-1], 0, 0)
+    for j, c in enumerate(text, 1):
+        before, before_start = cost, start
+        cost, start = [0], [j]
+        for i, p in enumerate(pattern, 1):
+            ways = [(before[i - 1] + (p != c), -before_start[i - 1]), (before[i] + 1, -before_start[i]), (cost[i - 1] + 1, -start[i - 1])]
+            n, at = min(ways)
+            cost.append(n), start.append(-at)
+        if cost[-1] < best[0]:
+            best = (cost[-1], j, start[-1])
+    return best
+
+
+def edited(text, n, r):
+    out = list(text)
+    for _ in range(n):
+        at = r.randrange(len(out))
+        out[at : at + 1] = r.choice(([], [r.choice("abcdefgh "), out[at]], [r.choice("ijklmnop")]))
+    return "".join(out)
+
+
+def test_leaks_equal_brute_force_about_the_limit():
+    """Items of one segment with edits below, at and above the limit: found if and only if the best alignment is within it, with its edits and place."""
+    r = random.Random(11)
+    found = missed = 0
+    for _ in range(120):
+        item = "".join(r.choices("abcdefghijklmnop ", k=r.randrange(60, 160))).strip()
+        limit = int(0.08 * len(item))
+        text = "".join(r.choices("abcdefghijklmnop ", k=300)) + edited(item, r.randrange(0, limit + 5), r) + "".join(r.choices("abcdefghijklmnop ", k=200))
+        edits, end, start = sellers(item, text)
+        got = decontam.leaks_in(text, decontam.groups_of([item], 8, 0.08, 160), 8)
+        if edits <= limit:
+            found += 1
+            assert [(i, n, e) for i, _, e, n in got] == [(0, edits, end)] and got[0][1] == start
+        else:
+            missed += 1
+            assert got == []
+    assert found > 40 and missed > 20
+
+
+def test_slices_give_the_same_leaks(spark):
+    """A benchmark in many slices, with an item that is cut into pieces, gives what one slice gives."""
+    r = random.Random(12)
+    items = [(i, " ".join(r.choices(WORDS, k=r.choice((12, 40, 90))))) for i in range(12)] + [(3, " ".join(r.choices(WORDS, k=30))), (99, " ".join(r.choices(WORDS, k=900)))]
+    docs = [(k, sentence(40, r) + " " + " ".join(t for _, t in r.sample(items, 2)) + " " + sentence(30, r), "clash") for k in range(30)] + [(7, None, "x"), (None, items[0][1], "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
+
+    def spans(slice_chars):
+        rows = decontam.with_leaks(df, bench, slice_chars=slice_chars).select("doc_id", "text", "leaks").collect()
+        return sorted((str(x["doc_id"]), str(x["text"]), sorted(map(tuple, x["leaks"]))) for x in rows)
+
+    assert spans(2000) == spans(10**6)
+
+
 # --- fixity
 
 
