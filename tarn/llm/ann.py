@@ -4,8 +4,9 @@ Equal vectors are one class (the class keeps its smallest ids, all that can ever
 that a third of all rows repeat is one point of the index. Each of ``curves`` orderings rotates and projects
 the unit vectors to ``dims`` coordinates, shifts the grid, and sorts by Hilbert key with Spark's sampled range
 partitioning. A query's candidates are the classes within ``window`` of all ranks around it on each curve;
-blocks of consecutive ranks meet the queries whose windows reach into them, each block reports its best, and
-the reports of all blocks and curves merge.
+blocks of consecutive ranks meet chunks of the queries whose windows reach into them, each meeting reports its best, and
+the reports of all blocks and curves merge. Unit vectors travel in single precision; some more than ``k`` stay to the
+end, where cosines are taken anew from the original vectors in double precision.
 
 The window is a share of the rows, not a number, so recall does not sink as the table grows.
 """
@@ -103,10 +104,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                     basis, shift = projection(size, dims, c, seed)
                     mean, sd = scale[c]
                     cell = np.clip(((u @ basis - mean) / sd + shift + 4) / 8, 0, 1 - 1e-9)
-                    yield pd.DataFrame({"curve": c, "key": hilbert_keys((cell * (1 << bits)).astype(np.int64), bits), "p": b["p"], "v": b["v"], "asked": b["asked"]})
+                    yield pd.DataFrame({"curve": c, "key": hilbert_keys((cell * (1 << bits)).astype(np.int64), bits), "p": b["p"], "v": list(u.astype(np.float32)), "asked": b["asked"]})
 
     id_type = points.schema["p"].dataType.simpleString()
-    order = points.select("p", "v", "asked").mapInPandas(keyed, f"curve int, key long, p {id_type}, v array<double>, asked boolean")
+    order = points.select("p", "v", "asked").mapInPandas(keyed, f"curve int, key long, p {id_type}, v array<float>, asked boolean")
     tasks = max(1, -(-curves * n // (8 * block)))
     ranged = store.put(order.repartitionByRange(tasks, "curve", "key", "p").sortWithinPartitions("curve", "key", "p").withColumn("m", F.monotonically_increasing_id()))
     # rank on its curve: position in its partition, and the rows of the curve in the partitions before it
@@ -119,29 +120,33 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     offsets = spark.createDataFrame(starts, "curve int, part long, shift long")
     ranked = ranged.withColumn("part", part).join(F.broadcast(offsets), ["curve", "part"]).select("curve", (F.col("m") + F.col("shift")).alias("rank"), "p", "v", "asked")
     ranked = ranked.withColumn("block", F.expr(f"rank div {block}"))
-    reach = F.sequence(F.expr(f"greatest(rank - {half}, 0) div {block}"), F.expr(f"least(rank + {half}, {n - 1}) div {block}"))
-    asks = ranked.where("asked").select(F.col("curve").alias("c"), F.explode(reach).alias("b"), F.col("rank").alias("at"), F.col("p").alias("q"), F.col("v").alias("qv"))
-    pools = ranked.select(F.col("curve").alias("pc"), F.col("block").alias("pb"), F.col("rank").alias("pr"), F.col("p").alias("pp"), F.col("v").alias("pv")).toDF("curve", "block", "rank", "p", "v")
+    # a block of ranks meets a chunk of as many queries, more or less, so a meeting stays small whatever share of the rows asks
+    chunk = block * max(1, n // max(1, points.where("asked").count()))
+    reach = lambda size: F.sequence(F.expr(f"greatest(rank - {half}, 0) div {size}"), F.expr(f"least(rank + {half}, {n - 1}) div {size}"))
+    asks = ranked.where("asked").withColumn("chunk", F.expr(f"rank div {chunk}")).select(F.col("curve").alias("c"), F.explode(reach(block)).alias("b"), F.col("chunk").alias("ch"), F.col("rank").alias("at"), F.col("p").alias("q"), F.col("v").alias("qv"))
+    near_chunks = F.sequence(F.expr(f"greatest(block * {block} - {half}, 0) div {chunk}"), F.expr(f"least((block + 1) * {block} - 1 + {half}, {n - 1}) div {chunk}"))
+    pools = ranked.select(F.col("curve").alias("pc"), F.col("block").alias("pb"), F.explode(near_chunks).alias("pch"), F.col("rank").alias("pr"), F.col("p").alias("pp"), F.col("v").alias("pv")).toDF("curve", "block", "chunk", "rank", "p", "v")
+    most = k + 6  # single precision may swap near neighbours; the end sorts them out
 
     def best(key: tuple, pool: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(pool) or not len(ask):
             return pd.DataFrame({"q": ask["q"][:0], "p": pool["p"][:0], "score": np.zeros(0)})
         pool = pool.sort_values("p")
-        u, rank, ids = unit(np.stack(pool["v"].to_numpy())), pool["rank"].to_numpy(), pool["p"].to_numpy()
+        u, rank, ids = np.stack(pool["v"].to_numpy()), pool["rank"].to_numpy(), pool["p"].to_numpy()
         out = []
         for lo in range(0, len(ask), 256):
             a = ask.iloc[lo : lo + 256]
-            s = unit(np.stack(a["qv"].to_numpy())) @ u.T
+            s = np.stack(a["qv"].to_numpy()) @ u.T
             s[np.abs(a["at"].to_numpy()[:, None] - rank[None, :]) > half] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+            top = np.argpartition(-s, min(most, s.shape[1] - 1), axis=1)[:, :most]
             score = np.take_along_axis(s, top, 1)
             keep = np.isfinite(score)
-            out.append(pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), top.shape[1])[keep.ravel()], "p": ids[top][keep], "score": score[keep]}))
+            out.append(pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), top.shape[1])[keep.ravel()], "p": ids[top][keep], "score": score[keep].astype(float)}))
         return pd.concat(out)
 
-    found = pools.groupBy("curve", "block").cogroup(asks.groupBy("c", "b")).applyInPandas(best, f"q {id_type}, p {id_type}, score double")
+    found = pools.groupBy("curve", "block", "chunk").cogroup(asks.groupBy("c", "b", "ch")).applyInPandas(best, f"q {id_type}, p {id_type}, score double")
     found = found.groupBy("q", "p").agg(F.max("score").alias("score"))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))).where(F.col("r") <= k + 1)
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))).where(F.col("r") <= most)
     # to ids: a class gives its smallest ones, with the score recomputed from the original vectors
     own = points.select(F.col("p").alias("q"), F.col("v").alias("qv")).where("asked")
     near = found.join(own, "q").join(points.select("p", "v", "ids"), "p").select("q", "qv", "v", "ids")
