@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tarn.functions import urls as U
 from tarn.functions.html import extract_links
 from tarn.lineage import checkpointed
-from tarn.operators.rows import per_row
 from tarn.operators.select import capped
 
 
@@ -77,9 +76,10 @@ def templates_for(pages: DataFrame, host: str, templates: DataFrame) -> DataFram
     """Pages with the best template of their host: exact name, then parent domains from the longest, then *; (domain, template) is a rule table."""
     labels = F.split(F.col(host), r"\.")
     names = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), F.array(F.lit("*")))
-    known = F.broadcast(templates.select(F.col("domain").alias("_domain"), F.col("template").alias("_template")))
-    best = F.min_by("_template", F.when(F.col("_template").isNotNull(), F.struct("_rank", "_template")))
-    return per_row(pages, lambda keyed: keyed.select("*", F.posexplode(names).alias("_rank", "_domain")).join(known, "_domain", "left"), template=best)
+    one = templates.where("domain is not null").groupBy("domain").agg(F.min("template").alias("template"))
+    known = F.broadcast(one.agg(F.map_from_entries(F.collect_list(F.struct("domain", "template"))).alias("_known")))  # one row, written by hand
+    found = F.filter(F.transform(names, lambda n: F.try_element_at(F.col("_known"), n)), lambda t: t.isNotNull())
+    return pages.join(known, F.lit(True), "left").withColumn("template", F.get(found, F.lit(0))).drop("_known")
 
 
 def best_rule(rules: DataFrame, keys: Sequence[str]) -> DataFrame:

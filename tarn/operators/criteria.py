@@ -111,6 +111,11 @@ def per_site_criterion(default: str, overrides: Mapping[str, str], site_col: str
 READ_ONLY = re.compile(r"\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*)*(select|with|show|describe|desc|explain|values)\b", re.IGNORECASE | re.DOTALL)
 
 
+def reads_only(c: Column) -> Column:
+    """Whether a statement only reads, by its first word after comments."""
+    return c.rlike("(?is)^" + READ_ONLY.pattern)
+
+
 def sql_custom(spark, queries: str | Sequence[str], by_name: bool = True, write: bool = False) -> list[DataFrame | str]:
     """Custom SQL: a result for each statement, or its error as text. Statements other than queries need ``write``."""
     out: list[DataFrame | str] = []

@@ -30,13 +30,14 @@ def with_lists(rows: DataFrame, key: str, many: DataFrame, name: str, fields: Se
 
 
 def not_in(rows: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """NOT IN with its null semantics: a null on the other side leaves nothing, a null key passes only against an empty list."""
-    rows.createOrReplaceTempView("_tarn_left")
-    other.createOrReplaceTempView("_tarn_right")
-    out = rows.sparkSession.sql(f"SELECT * FROM _tarn_left WHERE `{key}` NOT IN (SELECT `{other_key}` FROM _tarn_right)")
-    rows.sparkSession.catalog.dropTempView("_tarn_left")
-    rows.sparkSession.catalog.dropTempView("_tarn_right")
-    return out
+    """NOT IN with its null semantics: a null on the other side leaves nothing, a null key passes only against an empty list.
+
+    An anti-join by key and one row about the other side, so neither side has to fit into a task.
+    """
+    values = other.select(F.col(other_key).alias("_other"))
+    about = values.agg(F.count("*").alias("_n"), F.count_if(F.col("_other").isNull()).alias("_nulls"))
+    left = rows.join(values.where("_other is not null").distinct(), F.col(key) == F.col("_other"), "left_anti")
+    return left.join(F.broadcast(about), F.lit(True)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())).drop("_n", "_nulls")  # one row
 
 
 def property_value(rows: DataFrame, key: str, properties: DataFrame, name: str, default: Column | None = None) -> DataFrame:

@@ -31,17 +31,26 @@ def content_replaces(old: dict, new: dict) -> bool:
 
 
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], replaces: Callable[[dict, dict], bool]) -> DataFrame:
-    """One row a key by an order-dependent fold over its rows; nodes return few rows of one key, so a group is small."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(list(order)).to_dict("records")
-        kept = 0
-        for i in range(1, len(rows)):
-            if replaces(rows[kept], rows[i]):
-                kept = i
-        return group.sort_values(list(order)).iloc[[kept]]
-
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    """One row a key by an order-dependent fold over its rows, which stream by in order: a task holds one row, however many a key has."""
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, None
+        for b in batches:
+            done = []
+            for row in b.to_dict("records"):
+                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+                if kept is None or key != last:
+                    if kept is not None:
+                        done.append(kept)
+                    last, kept = key, row
+                elif replaces(kept, row):
+                    kept = row
+            yield pd.DataFrame(done, columns=names)
+        if kept is not None:
+            yield pd.DataFrame([kept], columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 
 
 def latest_by_total_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,20 +63,38 @@ def latest_by_total_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def same_contents(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Groups of content rows of one site that share a URL, a raw content or a content URL hash, transitively: column ``entity`` (least position).
 
-    Minimum labels run through the three keys until nothing changes; each round is three aggregations with partial minima.
+    Rows are tied to the least row of each group they are in; the ties are contracted by smallest neighbours and pointer jumping, so
+    a chain takes rounds as the logarithm of its length. Each round is written.
     """
     keys = [("site_id", "url_md5"), ("site_id", "raw_content_md5"), ("site_id", "content_url_md5")]
-    out = df.withColumn("entity", F.col(pos).cast("long"))
-    while True:
-        new = out
-        for k in keys:
-            given = F.coalesce(F.col(k[1]), F.lit("")) != ""
-            least = new.where(given).groupBy(*k).agg(F.min("entity").alias("_e"))
-            new = new.join(least, list(k), "left").withColumn("entity", F.least("entity", F.coalesce("_e", "entity"))).drop("_e")
-        new = checkpointed(new)
-        if new.join(out.select(F.col(pos).alias("_p"), F.col("entity").alias("_old")), F.col(pos) == F.col("_p")).where("entity <> _old").isEmpty():
-            return new.select(*df.columns, "entity")
-        out = new.select(*df.columns, "entity")
+    node = F.col(pos).cast("long").alias("a")
+    ties = None
+    for site, k in keys:
+        rows = df.where(F.coalesce(F.col(k), F.lit("")) != "").select(site, k, node)
+        least = rows.groupBy(site, k).agg(F.min("a").alias("b"))
+        one = rows.join(least, [site, k]).where("a <> b").select("a", "b")
+        ties = one if ties is None else ties.unionAll(one)
+    live = checkpointed(ties.unionAll(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rounds: list[DataFrame] = []
+    while not live.isEmpty():
+        up = checkpointed(live.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up")))
+        while True:  # to the root that the smallest neighbours lead to
+            above = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            up2 = checkpointed(up.join(above, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            up = up2.select("a", "up")
+            if up2.where("moved").isEmpty():
+                break
+        rounds.append(up)
+        half = live.join(up.select("a", F.col("up").alias("x")), "a").select("x", "b")
+        both = half.join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
+        live = checkpointed(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    label = None
+    for up in reversed(rounds):  # a root of one round may have a root of its own in the next
+        label = up if label is None else checkpointed(up.join(label.select(F.col("a").alias("up"), F.col("up").alias("top")), "up", "left").select("a", F.coalesce("top", "up").alias("up")))
+    if label is None:
+        return df.withColumn("entity", F.col(pos).cast("long"))
+    own = label.select(F.col("a").alias("_a"), F.col("up").alias("_up"))
+    return df.join(own, F.col(pos).cast("long") == F.col("_a"), "left").withColumn("entity", F.coalesce("_up", F.col(pos).cast("long"))).select(*df.columns, "entity")
 
 
 def without_repeats(lines: Column, trim: bool = True) -> Column:

@@ -106,3 +106,9 @@ def scheduled(kind: Column, is_root: Column, last: Column, at: Column, step_s: C
     """Template schedules: 0 root only, 1 always, 2 once at a time, 3 every step."""
     due = last.isNull() | (last + F.make_interval(secs=step_s) <= now)
     return F.when(kind == 0, is_root).when(kind == 1, True).when(kind == 2, last.isNull() & (at <= now)).when(kind == 3, (at <= now) & due).otherwise(False)
+
+
+def admitted_requests(requests: DataFrame, host: str, ts: str, max_freq: float, media: Column, used: DataFrame, limit: Column) -> DataFrame:
+    """Requests with ``admitted``: the rate of their host, the media limits and the proxy of the host (uses below ``limit``) all allow them."""
+    rated = average_rate(requests, host, ts, max_freq).join(used.select(host, F.col("uses").alias("_uses")), host, "left")
+    return rated.withColumn("admitted", F.col("within") & F.coalesce(media, F.lit(False)) & (F.coalesce("_uses", F.lit(0)) < limit)).drop("_uses", "rate", "within")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.rows import per_row
 from tarn.schemas import FILTER_OP
 
 
@@ -35,26 +34,41 @@ def matched(subject: Column, op: Column, pattern: Column, expressions: dict[str,
     return F.coalesce(out, F.lit(False))
 
 
+def with_rules(rows: DataFrame, rules: DataFrame, stage: int, fields: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``_rules``, the list of the stage's rules that are about a row, by rule id if there is one; null if there are none.
+
+    Rules are gathered, not rows: all of them as one row that goes to every task, or one row for each value of ``on`` in an equi-join
+    whose strategy the sizes decide. No row of ``rows`` is shuffled for rules without ``on``.
+    """
+    mine = rules.where(F.col("stage") == stage)
+    order = [c for c in ("rule_id",) if c in rules.columns]
+    listed = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("_rules")
+    if on:
+        return rows.join(mine.groupBy(*on).agg(listed), list(on), "left")
+    return rows.join(F.broadcast(mine.agg(F.when(F.count("*") > 0, listed).alias("_rules"))), F.lit(True), "left")  # one row
+
+
 def evaluated(rows: DataFrame, key: str, rules: DataFrame, subject: Column, stage: int, on: Sequence[str] = (), any_of: bool = True) -> DataFrame:
     """(key, results): a list of 0/1 for each rule of the stage by rule id, or one value for all of them; rows without rules have no row."""
-    mine = F.broadcast(rules.where(F.col("stage") == stage))  # rules are written by hand
-    both = rows.join(mine, list(on)) if on else rows.crossJoin(mine)
-    hit = matched(subject, F.col("op_code"), F.col("pattern"))
-    if any_of:
-        return both.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rule_id", hit.cast("int").alias("hit")))), lambda x: x["hit"]).alias("results"))
-    return both.groupBy(key).agg(F.array(F.bool_and(hit).cast("int")).alias("results"))
+    both = with_rules(rows, rules, stage, ("rule_id", "op_code", "pattern"), on).where("_rules is not null")
+    hit = lambda r: matched(subject, r["op_code"], r["pattern"])
+    results = F.transform("_rules", lambda r: hit(r).cast("int")) if any_of else F.array(F.forall("_rules", hit).cast("int"))
+    return both.select(key, results.alias("results"))
 
 
 def decided(rows: DataFrame, key: str, rules: DataFrame, subject: Column, stage: int, default: bool, on: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``passes``: the default or any include rule holds, and no exclude rule does.
 
-    One scan with the rules broadcast; a row keeps its place when no rule is about it.
+    One scan; a row keeps its place when no rule is about it.
     """
-    mine = F.broadcast(rules.where(F.col("stage") == stage).select(*on, "op_code", "pattern", "action"))
-    mine = mine.select(*on, *[F.col(c).alias(f"_{c}") for c in ("op_code", "pattern", "action")])
-    hit = matched(subject, F.col("_op_code"), F.col("_pattern"))
-    some = lambda action: F.coalesce(F.bool_or(hit & (F.col("_action") == action)), F.lit(False))
-    return per_row(rows, lambda keyed: keyed.join(mine, list(on) or F.lit(True), "left"), passes=(F.lit(default) | some(1)) & ~some(-1))
+    both = with_rules(rows, rules, stage, ("op_code", "pattern", "action"), on)
+    some = lambda action: F.coalesce(F.exists("_rules", lambda r: matched(subject, r["op_code"], r["pattern"]) & (r["action"] == action)), F.lit(False))
+    return both.withColumn("passes", (F.lit(default) | some(1)) & ~some(-1)).drop("_rules")
+
+
+def rule_matches(rows: DataFrame, rules: DataFrame, on: Sequence[str], subject: str, pattern: str = "pattern") -> DataFrame:
+    """Pairs of rows and rules of their site whose pattern is found in the subject: an equi-join by site with the regex as its rest."""
+    return rows.join(rules, list(on)).where(F.regexp_like(F.col(subject), F.col(pattern)))
 
 
 def date_macros(c: Column, now: Column) -> Column:

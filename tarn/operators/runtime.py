@@ -98,3 +98,26 @@ def synced(urls: DataFrame, new: DataFrame, sites: DataFrame, key: str, active:
     counts = urls.groupBy(key).agg(F.count_if(active).alias("_active"))
     room = sites.join(counts, key, "left").where("state = 1 and (max_errors = 0 or errors <= max_errors) and (max_urls = 0 or coalesce(_active, 0) < max_urls)").select(key)
     return new.join(urls.select(key, "url_md5"), [key, "url_md5"], "left_anti").join(room, key, "left_semi")
+
+
+def commanded(tasks: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id and answer of each command, the tasks after them). Commands by task id:
+
+    set starts a task, check tells its state, terminate ends one that is not finished, get gives the result of a finished one, which then
+    leaves, delete removes it. Tasks without a command stay as they are; commands to unknown tasks but set have a null answer.
+    """
+    both = tasks.join(commands, "id", "full_outer")
+    c, state = F.col("command"), F.col("state")
+    after = F.when(c == "set", "in_progress").when((c == "terminate") & (state != "finished"), "terminated").otherwise(state)
+    answer = F.when(c == "get", F.when(state == "finished", state)).when(c != "delete", after)
+    gone = F.coalesce((c == "delete") | ((c == "get") & (state == "finished")), F.lit(False)) | after.isNull()
+    return both.where("command is not null").select("id", answer.alias("answer")), both.where(~gone).select("id", after.alias("state"))
+
+
+def structure(nodes: DataFrame, cluster: str) -> DataFrame:
+    """Nodes of each cluster by role (router, manager, replica; ``up`` tells which run), and the problems of its structure."""
+    role = F.col("role")
+    counts = nodes.groupBy(cluster).agg(F.count_if(role == "router").alias("routers"), F.count_if(role == "manager").alias("managers"), F.count_if(role == "replica").alias("replicas"), F.count_if((role == "replica") & ~F.col("up")).alias("down"))
+    few = F.col("replicas") - F.col("down") < F.col("managers")
+    found = F.array(F.when(F.col("routers") == 0, "no router"), F.when(F.col("managers") == 0, "no manager"), F.when(few, "too few replicas"))
+    return counts.withColumn("problems", F.array_compact(found))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.lineage import checkpointed
+
 #: Weights of the fields (fixed values).
 WEIGHTS = {"title": 8, "h": 7, "bodys": 6, "bodyn": 5, "ref": 4, "alt": 3, "meta": 2, "url": 1}
 
@@ -17,6 +20,26 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+@dataclass(frozen=True)
+class Tokeniser:
+    """Settings of an index: characters of a word beside letters and digits, the least length, stop words, forms of words, and suffixes to cut (longest first)."""
+
+    more_chars: str = ""
+    least: int = 1
+    stop: Sequence[str] = ()
+    forms: Mapping[str, str] | None = None
+    suffixes: Sequence[str] = ()
+
+    def tokens(self, c: Column) -> Column:
+        out = F.filter(F.split(F.lower(c), rf"[^\p{{L}}\p{{N}}{re.escape(self.more_chars)}]+"), lambda w: (F.length(w) >= max(1, self.least)) & ~w.isin(*self.stop, ""))
+        if self.forms:
+            known = F.create_map(*[F.lit(x) for pair in self.forms.items() for x in pair])
+            out = F.transform(out, lambda w: F.coalesce(known[w], w))
+        if self.suffixes:
+            out = F.transform(out, lambda w: F.regexp_replace(w, "(?<=.{3})(?:" + "|".join(map(re.escape, self.suffixes)) + ")$", ""))
+        return out
+
+
 def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     """(term, field, key, tf); ``fields`` maps index fields to columns."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("text")) for f, c in fields.items()])
@@ -67,6 +90,21 @@ def word_info(idx: DataFrame, key: str, query: str) -> DataFrame:
     return idx.where(F.col("term").isin(*query.lower().split())).groupBy("term").agg(F.count_distinct(key).alias("docs"), F.sum("tf").alias("hits"))
 
 
+def in_turn(df: DataFrame, order: Sequence[str], nodes: int) -> DataFrame:
+    """Rows with the ``node`` they go to when they are dealt one after another in an order.
+
+    Places come from the counts of a range partition, so no task holds more than its share.
+    """
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    before, shifts = 0, []
+    for r in sorted(ranged.groupBy(part.alias("p")).agg(F.min("_m").alias("low"), F.count("*").alias("n")).collect()):  # one row a partition
+        shifts.append((r["p"], before - r["low"]))
+        before += r["n"]
+    moved = df.sparkSession.createDataFrame(shifts, "_p long, _shift long")
+    return ranged.withColumn("_p", part).join(F.broadcast(moved), "_p").withColumn("node", F.pmod(F.col("_m") + F.col("_shift"), F.lit(nodes)).cast("int")).drop("_p", "_m", "_shift")
+
+
 def routed(df: DataFrame, mode: str, nodes: int, *keys: str) -> DataFrame:
     """Rows dealt to nodes: round robin, random, or by key."""
     if mode == "round_robin":

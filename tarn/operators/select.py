@@ -110,3 +110,15 @@ def due_tasks(tasks: DataFrame, slot_end, planned: int, n: int) -> DataFrame:
 def slot_counts(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     """Rows in each time slot floor(t / seconds) * seconds."""
     return df.groupBy((F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds) * seconds).cast("long").alias("slot")).agg(F.count("*").alias("n"))
+
+
+def incremental(urls: DataFrame, now: Column, age_s: int, max_depth: int, n: int, key: str) -> DataFrame:
+    """Processed URLs untouched for a time and not too deep: shallow ones first, then the highest modification rate, then the latest update."""
+    due = urls.where((F.col("status") == 7) & (F.col("depth") <= max_depth) & (F.col("tc_date") < now - F.make_interval(secs=F.lit(age_s))))
+    return due.orderBy("depth", F.desc("m_rate"), F.desc("u_date"), key).limit(n)
+
+
+def before_deadline(items: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, deadline: Column, keep: Column) -> DataFrame:
+    """Items of a batch with their ``outcome``: done while the costs so far stay within the deadline, the rest kept or dropped."""
+    spent = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return items.withColumn("outcome", F.when(spent <= deadline, "done").when(keep, "kept").otherwise("dropped"))

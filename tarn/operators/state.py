@@ -142,3 +142,20 @@ def raw_content(rows: DataFrame, keys: Sequence[str], mode: str = "last") -> Dat
         return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ctime", "body"))), lambda x: x["body"]).alias("body"))
     pick = F.max_by if mode == "last" else F.min_by
     return rows.groupBy(*keys).agg(pick("body", F.struct("ctime", "body")).alias("body"))
+
+
+def first_match(table: DataFrame, condition: Column, order: Sequence[Column], key: str) -> DataFrame:
+    """The key of the first row under a condition, by one distributed top-1."""
+    return table.where(condition).orderBy(*order).limit(1).select(F.col(key).alias("_first"))
+
+
+def updated_first(table: DataFrame, condition: Column, values: Mapping[str, Column], order: Sequence[Column], key: str) -> DataFrame:
+    """Update of the first match only."""
+    one = F.broadcast(first_match(table, condition, order, key))  # one row
+    hit = table.join(one, F.col(key) == F.col("_first"), "left")
+    return hit.withColumns({n: F.when(F.col("_first").isNotNull(), v).otherwise(F.col(n)) for n, v in values.items()}).drop("_first")
+
+
+def deleted_first(table: DataFrame, condition: Column, order: Sequence[Column], key: str) -> DataFrame:
+    """Delete of the first match only."""
+    return table.join(F.broadcast(first_match(table, condition, order, key)), F.col(key) == F.col("_first"), "left_anti")  # one row

@@ -39,9 +39,11 @@ def x3(spark, d):
     return pages(spark, d).select("page_id", H.extract_forms("html").alias("forms"))
 
 
-@query("x4_url_schema", "SELECT 'http://h/' || a.v || '?p=' || b.v AS url FROM (VALUES ('x'), ('y')) a(v), (SELECT unnest(range(1, 20, 3)) AS v) b ORDER BY a.v, b.v LIMIT 12")
+@query("x4_url_schema", "SELECT 'http://h/' || r_name || '?p=' || v AS url FROM region, (SELECT unnest(range(1, 20, 3)) AS v) ORDER BY r_name, v LIMIT 30")
 def x4(spark, d):
-    return C.generated_urls(spark, "http://h/%s%?p=%n%", {"s": ["x", "y"], "n": (1, 19, 3)}, 12)
+    """URLs of a template; the names of all regions are one of its lists."""
+    names = [r["r_name"] for r in table(spark, d, "region").orderBy("r_name").collect()]
+    return C.generated_urls(spark, "http://h/%s%?p=%n%", {"s": names, "n": (1, 19, 3)}, 30)
 
 
 @query("x5_iteration", "WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey % 5) % 1500 + 1 AS b FROM orders), r(node, round) AS (SELECT 1::BIGINT, 0 UNION SELECT b, round + 1 FROM r JOIN l ON a = node WHERE round < 3) SELECT node, min(round) AS round FROM r GROUP BY 1")
@@ -57,9 +59,11 @@ def x6(spark, d):
     return pages(spark, d).select("page_id", t["title"].alias("title"), t["nav"].alias("nav"), t["charset"].alias("charset"), t["none"].alias("none"))
 
 
-@query("x6b_title_native", "SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\">', 1) AS charset FROM pages")
+@query("x6b_title_native", "SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\">', 1) AS charset, replace(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '&amp;', '&') AS title FROM pages")
 def x6b(spark, d):
-    return pages(spark, d).select("page_id", H.extract("//meta/@charset")("html").alias("c")).select("page_id", F.coalesce(F.get("c", F.lit(0)), F.lit("")).alias("charset"))
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    found = pages(spark, d).select("page_id", H.extract("//meta/@charset")("html").alias("c"), H.extract("//title")("html").alias("t"))
+    return found.select("page_id", first("c").alias("charset"), first("t").alias("title"))
 
 
 @query("x7_template_choice", "SELECT page_id, CASE WHEN h LIKE '%.example.com' OR h = 'example.com' THEN 'com' WHEN h LIKE '%.net' THEN 'net' ELSE 'any' END AS template FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h FROM pages)")

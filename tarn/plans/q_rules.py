@@ -41,10 +41,11 @@ def p9(spark, d):
     return R.decided(link, "o_orderkey", rules(spark), F.col("o_orderpriority"), 1, default=True).select("o_orderkey", "link_stage", F.col("passes").alias("dom_stage"))
 
 
-@query("p10_rule_loading", "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c')) t(rule_id, pattern)")
+@query("p10_rule_loading", "SELECT o_orderkey AS rule_id, unnest([o_orderpriority, o_orderstatus]) AS pattern FROM orders WHERE o_orderkey % 3 <> 0")
 def p10(spark, d):
-    rows = spark.createDataFrame([(1, "a\r\nb", 0), (2, "c\r\n", 0), (3, "d", 1)], "rule_id int, pattern string, state int")
-    return R.loaded(rows).select("rule_id", "pattern")
+    lines = F.concat("o_orderpriority", F.lit("\r\n\r\n"), "o_orderstatus", F.lit("\r\n"))
+    state = F.when(F.col("o_orderkey") % 3 == 0, 1).when(F.col("o_orderkey") % 3 == 1, 0)
+    return R.loaded(table(spark, d, "orders").select(F.col("o_orderkey").alias("rule_id"), lines.alias("pattern"), state.alias("state"))).select("rule_id", "pattern")
 
 
 @query("p12_date_macros", "SELECT o_orderkey, 'http://x/' || strftime(o_orderdate, '%Y') || '/' || strftime(o_orderdate - INTERVAL 3 HOUR, '%m-%d') || '?h=' || strftime(o_orderdate + INTERVAL 5 HOUR, '%H') AS url FROM orders")
@@ -81,14 +82,8 @@ def p18(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.first_true(kinds, fields, F.lit("rest")).alias("kind"))
 
 
-@query("p21_tag_validators", "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^t') AND NOT regexp_matches(x, 'tion')) AS tags FROM documents WHERE lang = 'en'")
+@query("p21_tag_validators", "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^t') AND NOT regexp_matches(x, 'tion')) AS tags FROM documents")
 def p21(spark, d):
-    """Of p21_tag_validators_all the English documents."""
-    return validated_tags(table(spark, d, "documents").where("lang = 'en'"))
-
-
-@query("p21_tag_validators_all", "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^t') AND NOT regexp_matches(x, 'tion')) AS tags FROM documents")
-def p21_all(spark, d):
     return validated_tags(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 

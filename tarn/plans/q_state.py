@@ -75,11 +75,11 @@ def m6(spark, d):
     return S.updated_where(urls(spark, d), F.col("priority") == "5-LOW", {"status": F.lit(4), "u_date": now()}).select("url_md5", "status", "u_date")
 
 
-@query("m7_url_delete", f"SELECT 'live' AS side, count(*) AS n FROM {URLS} WHERE status <> 7 UNION ALL SELECT 'tombstone', count(*) FROM {URLS} WHERE status = 7")
+@query("m7_url_delete", f"SELECT url_md5, status = 7 AS moved, CASE WHEN status = 7 THEN TIMESTAMP '2002-01-01' ELSE tc_date END AS tc_date FROM {URLS}")
 def m7(spark, d):
     u = urls(spark, d)
     c = S.deleted(u, u.limit(0), F.col("status") == 7, now())
-    return c.table.agg(F.lit("live").alias("side"), F.count("*").alias("n")).unionAll(c.moved.agg(F.lit("tombstone"), F.count("*")))
+    return c.table.select("url_md5", F.lit(False).alias("moved"), "tc_date").unionAll(c.moved.select("url_md5", F.lit(True), "tc_date"))
 
 
 @query("m8_url_cleanup", f"SELECT url_md5, CASE WHEN status = 7 THEN 1 ELSE status END AS status, CASE WHEN status = 7 THEN u_date - INTERVAL 3600 SECOND ELSE u_date END AS u_date FROM {URLS}")
@@ -87,11 +87,11 @@ def m8(spark, d):
     return S.cleaned(urls(spark, d), F.col("status") == 7, 0, 1, now(), F.lit(3600)).select("url_md5", "status", "u_date")
 
 
-@query("m9_purge", f"WITH t AS (SELECT * FROM {URLS} WHERE status = 7), o AS (SELECT url_md5 FROM t ORDER BY u_date, url_md5 LIMIT 100) SELECT 'left' AS side, count(*) AS n FROM t WHERE url_md5 NOT IN (SELECT url_md5 FROM o) UNION ALL SELECT 'contents', count(*) FROM o")
+@query("m9_purge", f"WITH t AS (SELECT * FROM {URLS} WHERE status = 7), o AS (SELECT url_md5 FROM t ORDER BY u_date, url_md5 LIMIT 100) SELECT 'left' AS side, url_md5 FROM t WHERE url_md5 NOT IN (SELECT url_md5 FROM o) UNION ALL SELECT 'contents', url_md5 FROM o")
 def m9(spark, d):
     u = urls(spark, d)
     left, contents = S.purged(u.where("status = 7"), u.where("status <> 7"), "url_md5", "tc_date", [F.col("u_date"), F.col("url_md5")], 100)
-    return left.agg(F.lit("left").alias("side"), F.count("*").alias("n")).unionAll(contents.agg(F.lit("contents"), F.count("*")))
+    return left.select(F.lit("left").alias("side"), "url_md5").unionAll(contents.select(F.lit("contents"), "url_md5"))
 
 
 @query("m11_url_status", f"SELECT url_md5, status FROM {URLS} WHERE url_md5 IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
@@ -132,13 +132,14 @@ def m16(spark, d):
     return table(spark, d, "supplier").where("s_acctbal > 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_nationkey")
 
 
-@query("m18_sql_custom", "SELECT 2 AS n")
+@query("m18_sql_custom", "SELECT o_custkey, count(*) AS n, 2 AS rejected FROM orders GROUP BY 1")
 def m18(spark, d):
+    """Custom statements on a table: the rows of the first; of the others one is rejected and one fails."""
     from tarn.operators.criteria import sql_custom
 
-    table(spark, d, "region").createOrReplaceTempView("regions")
-    got = sql_custom(spark, ["SELECT count(*) FROM regions", "DROP TABLE regions", "SELECT nothing FROM regions"])
-    return spark.createDataFrame([(sum(isinstance(x, str) for x in got),)], "n int")
+    table(spark, d, "orders").createOrReplaceTempView("tarn_urls")
+    got = sql_custom(spark, ["SELECT o_custkey, count(*) AS n FROM tarn_urls GROUP BY o_custkey", "DROP TABLE tarn_urls", "SELECT nothing FROM tarn_urls"])
+    return got[0].withColumn("rejected", F.lit(sum(isinstance(x, str) for x in got)))
 
 
 @query("m21_fetch_and_mark", f"SELECT url_md5, CASE WHEN url_md5 IN (SELECT url_md5 FROM {URLS} WHERE status = 1 ORDER BY u_date, url_md5 LIMIT 200) THEN 2 ELSE status END AS status FROM {URLS}")

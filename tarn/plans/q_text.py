@@ -63,9 +63,10 @@ def f8(spark, d):
     return pages(spark, d).select("page_id", U.site_id(F.col("url")).alias("site_id"))
 
 
-@query("f9_entities", "SELECT doc_id, replace(replace(replace(regexp_replace(text, '&', '&amp;', 'g'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS t FROM documents WHERE NOT regexp_matches(text, '&([a-zA-Z]+|#[0-9]+);')")
+@query("f9_entities", "WITH t AS (SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || ' &lt; &amp;amp &#8364;' AS t FROM documents) SELECT doc_id, regexp_replace(t, '&amp;([a-zA-Z]+|#[0-9]+);', '&\\1;', 'g') AS t FROM t")
 def f9(spark, d):
-    return docs(spark, d).where("not text rlike '&([a-zA-Z]+|#[0-9]+);'").select("doc_id", X.encode_entities(F.col("text")).alias("t"))
+    """All texts, each with entities that stand already; texts with entities of their own stay as they are there."""
+    return docs(spark, d).select("doc_id", X.encode_entities(F.concat("text", F.lit(" < &amp &#8364;"))).alias("t"))
 
 
 @query("f10_strip_comments", "SELECT page_id, md5(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs')) AS h FROM pages")
@@ -174,9 +175,10 @@ def k2(spark, d):
     return pages(spark, d).select("page_id", X.declared_charset(F.col("html")).alias("charset"))
 
 
-@query("k3_mime", "SELECT page_id, 'text/html' AS mime, 'application/json' AS j FROM pages WHERE lower(ltrim(html)) LIKE '<!doctype html%'")
+@query("k3_mime", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/xml' WHEN 3 THEN 'application/pdf' ELSE 'text/plain' END AS mime FROM pages")
 def k3(spark, d):
-    return pages(spark, d).where("lower(ltrim(html)) like '<!doctype html%'").select("page_id", X.mime(F.col("html")).alias("mime"), X.mime(F.lit('{"a":1}')).alias("j"))
+    forms = [F.concat(F.lit(" "), F.col("html")), F.concat(F.lit('{"url":"'), F.col("url"), F.lit('"}')), F.concat(F.lit('<?xml version="1.0"?><u>'), F.col("url"), F.lit("</u>")), F.concat(F.lit("%PDF-1.7 "), F.col("url")), F.col("url")]
+    return pages(spark, d).select("page_id", X.mime(F.element_at(F.array(*forms), (F.col("page_id") % 5 + 1).cast("int"))).alias("mime"))
 
 
 @query("k4_header", "SELECT o_orderkey, o_orderstatus AS status, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') AS at FROM orders")
@@ -185,14 +187,8 @@ def k4(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.header(text, "x-status").alias("status"), D.http_date(F.col("o_orderdate")).alias("at"))
 
 
-@query("dt1_parse", "SELECT o_orderkey, o_orderdate AS a, CAST(o_orderdate AS DATE)::TIMESTAMP AS b, TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 1 HOUR * (o_orderkey % 40 + 1) AS c FROM orders WHERE o_orderkey % 20 = 0")
+@query("dt1_parse", "SELECT o_orderkey, o_orderdate AS a, CAST(o_orderdate AS DATE)::TIMESTAMP AS b, TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 1 HOUR * (o_orderkey % 40 + 1) AS c FROM orders")
 def dt1(spark, d):
-    """A twentieth of what dt1_parse_all parses."""
-    return parsed_orders(table(spark, d, "orders").where("o_orderkey % 20 = 0"))
-
-
-@query("dt1_parse_all", "SELECT o_orderkey, o_orderdate AS a, CAST(o_orderdate AS DATE)::TIMESTAMP AS b, TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 1 HOUR * (o_orderkey % 40 + 1) AS c FROM orders")
-def dt1_all(spark, d):
     return parsed_orders(spread(table(spark, d, "orders")))
 
 

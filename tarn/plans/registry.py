@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("q_select", "q_relational", "q_merge", "q_rules", "q_text", "q_pages", "q_state", "q_runtime", "q_more")
+_MODULES = ("q_select", "q_relational", "q_merge", "q_rules", "q_text", "q_pages", "q_state", "q_runtime", "q_more", "q_service")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -77,6 +77,18 @@ def kv_delete(store: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 SUFFIXES = {"raw": "bin", "tidy": "tidy", "headers": "headers", "request": "requests", "meta": "meta", "cookies": "cookies", "dynamic": "dynamic", "chain": "chain"}
 
 
+def raw_name(url_md5: Column, kind: Column) -> Column:
+    """The file name of a raw content: the URL's hash and the suffix of its kind."""
+    suffix = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
+    return F.concat(url_md5, F.lit("."), F.coalesce(suffix[kind], F.lit("bin")))
+
+
+def fetched(urls: DataFrame, contents: DataFrame) -> DataFrame:
+    """URLs with ``http_code``, ``size`` and ``body`` from a table (url, body) of contents that are there already; others are not found."""
+    found = urls.join(contents, "url", "left")
+    return found.withColumns({"http_code": F.when(F.col("body").isNull(), 404).otherwise(200), "size": F.coalesce(F.length("body"), F.lit(0))})
+
+
 def write_raw(df: DataFrame, path: str) -> None:
     """Raw contents by kind."""
     df.write.mode("append").partitionBy("kind").parquet(path)
@@ -88,9 +100,10 @@ def import_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return df.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("ctime"), F.col("content").alias("body"))
 
 
-def import_documents(spark: SparkSession, path: str, form: str, row_tag: str = "document") -> DataFrame:
-    """XML or JSON documents as rows."""
-    return spark.read.format("xml").option("rowTag", row_tag).load(path) if form == "xml" else spark.read.option("multiLine", "true").json(path)
+def import_documents(spark: SparkSession, path: str, form: str, schema: str | None = None, row_tag: str = "document", lines: bool = True) -> DataFrame:
+    """XML or JSON documents as rows; a schema saves a pass that infers one. Without ``lines`` a JSON file is one document or a list."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.format("xml").option("rowTag", row_tag).load(path) if form == "xml" else reader.option("multiLine", str(not lines).lower()).json(path)
 
 
 def file_sum(spark: SparkSession, path: str, field: str) -> DataFrame:
@@ -99,11 +112,6 @@ def file_sum(spark: SparkSession, path: str, field: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(field), F.lit(0)).alias(field))
 
 
-def requests(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """Requests decoded from JSON text; a text that is no request gives nulls."""
-    return df.withColumn("request", F.from_json(column, schema))
-
-
 def extracted(df: DataFrame, column: str, schema: str, fields: Sequence[str], form: str = "json", base64: bool = True, offset: int = 0, count: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """Fields of coded results as json, csv lines or field lines, from an offset."""
     text = F.decode(F.unbase64(column), "UTF-8") if base64 else F.col(column)
