@@ -20,24 +20,25 @@ SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
 def _part(text: str, safe: str) -> str:
-    """Percent-decoded once, in Unicode normal form C, and coded again."""
+    """Percent-decoded once, in Unicode normal form C, and coded again; bytes that are no UTF-8 are read as Latin-1."""
     raw = unquote_to_bytes(text.encode("utf-8"))
     try:
-        raw = unicodedata.normalize("NFC", raw.decode("utf-8")).encode("utf-8")
+        plain = raw.decode("utf-8")
     except UnicodeDecodeError:
-        pass
-    return quote(raw, safe=safe)
+        plain = raw.decode("latin-1")
+    return quote(unicodedata.normalize("NFC", plain), safe=safe)
 
 
 def _query(text: str) -> str:
     """A query whose separators keep their meaning: coded & and = stay coded."""
-    return "&".join("=".join(quote(unquote_to_bytes(x), safe=SAFE["query"].replace("&", "").replace("=", "").replace("+", "") + "") if "%" in x else quote(x, safe=SAFE["query"] + "%") for x in p.split("=")) for p in text.split("&"))
+    coded = SAFE["query"].replace("&", "").replace("=", "").replace("+", "")
+    return "&".join("=".join(_part(x, coded) if "%" in x else quote(unicodedata.normalize("NFC", x), safe=SAFE["query"]) for x in p.split("=")) for p in text.split("&"))
 
 
 def without_dots(path: str) -> str:
-    """A path without . and .. segments."""
+    """A path without . and .. segments and without empty ones but the last."""
     out: list[str] = []
-    parts = path.split("/")
+    parts = re.sub("//+", "/", path).split("/")
     for p in parts[1:]:
         if p == "..":
             out = out[:-1]

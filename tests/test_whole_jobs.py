@@ -19,15 +19,14 @@ def test_round_trip_writes_every_site(spark, sf, monkeypatch):
         plain(df, root, *a, **b)
 
     monkeypatch.setattr(tables, "write", seen)
-    for name in ("s6_table_round_trip", "s6_table_round_trip_all"):
-        registry.queries()[name](spark, sf).collect()
-    assert written == [orders(spark, sf).count()] * 2
+    registry.queries()["s6_table_round_trip"](spark, sf).collect()
+    assert written == [orders(spark, sf).count()]
     folders = {r["f"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots[0]).selectExpr("regexp_extract(path, 'site_id[^/]*', 0) as f").collect()}
     assert len(folders) <= tables.SITE_BUCKETS < orders(spark, sf).select("o_custkey").distinct().count()
 
 
 def test_every_order_date_is_parsed(spark, sf):
-    got = registry.queries()["dt1_parse_all"](spark, sf)
+    got = registry.queries()["dt1_parse"](spark, sf)
     assert got.where("a is not null and b is not null and c is not null").count() == orders(spark, sf).count()
 
 
@@ -35,14 +34,14 @@ def test_every_document_is_highlighted(spark, sf):
     import re
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["t"] for r in registry.queries()["z7_highlight_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r["t"] for r in registry.queries()["z7_highlight"](spark, sf).collect()}
     assert got == {k: re.sub(r"\b(the|of)\b", r"<b>\1</b>", t, flags=re.I) for k, t in docs.items()}
     assert any("<b>The</b>" in t for t in got.values())
 
 
 def test_tags_of_every_language_are_validated(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["tags"] for r in registry.queries()["p21_tag_validators_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r["tags"] for r in registry.queries()["p21_tag_validators"](spark, sf).collect()}
     assert got == {k: [w for w in t.split(" ") if w.startswith("t") and "tion" not in w] for k, t in docs.items()}
 
 
@@ -60,25 +59,3 @@ def test_a_tenth_is_replaced_and_a_tenth_deleted(spark, sf, monkeypatch):
     registry.queries()["z4_index_merge"](spark, sf).collect()
     ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert left == [{i for i in ids if i % 10 == 5}, {i for i in ids if i % 10 == 3}]
-
-
-def test_masking_cuts_the_union_of_overlapping_spans(spark):
-    from pyspark.sql import functions as F
-
-    from tarn.llm import pii
-
-    text = "id 123456789012 10.0.0.1 end"
-    df = spark.createDataFrame([(text, [(16, 24, "ip"), (3, 18, "card")]), (text, [(3, 15, "card"), (4, 9, "phone"), (16, 24, "ip")])], "text string, s array<struct<start:int,end:int,kind:string>>")
-    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("s"))).collect()] == ["id [CARD] end", "id [CARD] [IP] end"]
-
-
-def test_training_samples_hold_different_texts(spark):
-    from pyspark.sql import functions as F
-
-    from tarn.llm.secret_scan import sample_texts
-
-    rows = [("the same text",)] * 500 + [(f"text {i}",) for i in range(30)] + [("long " * 100,), (None,)]
-    got = sample_texts(spark.createDataFrame(rows, "text string").repartition(5), F.lit(False), 40, chars=50)
-    assert len(got) == len(set(got)) == 20 and max(map(len, got)) <= 50
-    every = sample_texts(spark.createDataFrame(rows, "text string"), F.lit(False), 1000, chars=50)
-    assert len(every) == 32 and "the same text" in every
