@@ -250,3 +250,19 @@ def test_queries(spark, sf):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == i for *_, k in base) for i in range(4))
+
+
+def test_masking_cuts_the_union_of_overlapping_spans(spark):
+    text = "id 123456789012 10.0.0.1 end"
+    df = spark.createDataFrame([(text, [(16, 24, "ip"), (3, 18, "card")]), (text, [(3, 15, "card"), (4, 9, "phone"), (16, 24, "ip")])], "text string, s array<struct<start:int,end:int,kind:string>>")
+    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("s"))).collect()] == ["id [CARD] end", "id [CARD] [IP] end"]
+
+
+def test_training_samples_hold_different_whole_texts(spark):
+    rows = [("the same text of 12",)] * 500 + [(f"text {i + 20}",) for i in range(30)] + [("long " * 30000 + "99",), (None,), ("",), ("x" * 5000,)]
+    df = spark.createDataFrame(rows, "text string")
+    got = crf.sampled(df.repartition(5), F.lit(False), secret_scan.labelled, 2000, 10**6)
+    middles = [w.words[crf.SPAN] for w in got]
+    assert middles.count("12") == 1 and middles.count("99") >= 1 and "x" * 5000 not in middles
+    few = crf.sampled(df, F.lit(False), secret_scan.labelled, 20, 15)
+    assert len(few) == 15 and all(len(w.words) == 2 * crf.SPAN + 1 for w in few)
