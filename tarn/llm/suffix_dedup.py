@@ -12,7 +12,8 @@ anchor; equal windows have equal anchors at equal places. Neighbouring windows w
    has is never gathered in one task.
 
 Copies of a whole text are one text throughout. The same machinery finds repeated passages of words, on texts in which every
-word is four bytes (the CRC-32 of its UTF-8 form) and a window is a number of words.
+word is four bytes (the CRC-32 of its UTF-8 form) and a window is a number of words. A text is a row of units, bytes or words; places, widths
+and spans count units.
 
 Places and lengths are 32-bit numbers: a text holds at most 2 GB, as a Spark string does.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,22 +102,22 @@ def common(a: bytes, b: bytes) -> int:
     return int(d.argmax())
 
 
-def repeated(parts: list[tuple[bytes, bytes, int, int]], width: int) -> list[np.ndarray]:
-    """For distinct segments (reversed bytes before the anchor, bytes from it, least and most offset of the anchor in a window): which offsets have an equal window in another segment."""
+def repeated(parts: list[tuple[bytes, bytes, int, int]], width: int, size: int = 1) -> list[np.ndarray]:
+    """For distinct segments (reversed bytes before the anchor, bytes from it, least and most offset of the anchor in a window): which offsets have an equal window in another segment. A unit has ``size`` bytes."""
     out = [np.zeros(hi - lo + 1, bool) for _, _, lo, hi in parts]
     if len(parts) <= PAIRS:
         for i, (left, right, lo, hi) in enumerate(parts):
             for j in range(i):
                 other = parts[j]
-                a, b = max(lo, other[2], width - common(right, other[1])), min(hi, other[3], common(left, other[0]))
+                a, b = max(lo, other[2], width - common(right, other[1]) // size), min(hi, other[3], common(left, other[0]) // size)
                 if a <= b:
                     out[i][a - lo : b - lo + 1] = out[j][a - other[2] : b - other[2] + 1] = True
         return out
     groups = []
     for side in (0, 1):
         rows = [p[side] for p in parts]
-        order = multikey_order(as_words(rows, width))
-        groups.append((order, common_with_next(rows, order, width)))
+        order = multikey_order(as_words(rows, width * size))
+        groups.append((order, common_with_next(rows, order, width * size) // size))
     lo, hi = np.array([p[2] for p in parts]), np.array([p[3] for p in parts])
     for o in range(int(lo.min()), int(hi.max()) + 1):
         key = np.zeros(len(parts), np.int64)
@@ -163,12 +164,19 @@ def as_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-WORD_BYTES = 4
+class Bytes:
+    """Texts as rows of bytes."""
 
+    size, kind = 1, np.uint8
 
-class WordBytes(dict):
-    """Texts with every word, a run without ASCII white space, as four bytes."""
+    def __call__(self, text: str) -> bytes:
+        return as_bytes(text)
+
+
+class Words(dict):
+    """Texts as rows of words, runs without ASCII white space, each as four bytes."""
 
+    size, kind = 4, np.dtype("<u4")
     LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
@@ -178,7 +186,8 @@ class WordBytes(dict):
     def __call__(self, text: str) -> bytes:
         if len(self) > self.LIMIT:
             self.clear()
-        return np.array([self[w] for w in as_bytes(text).split()], "<u4").tobytes()
+        words = as_bytes(text).split()
+        return np.fromiter(map(self.__getitem__, words), self.kind, len(words)).tobytes()
 
 
 def distinct_texts(docs: DataFrame, store: Staged) -> DataFrame:
@@ -186,12 +195,12 @@ def distinct_texts(docs: DataFrame, store: Staged) -> DataFrame:
     return store.put(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("rep")))
 
 
-def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k: int, units: Callable[[], Callable[[str], bytes]]) -> tuple[DataFrame, DataFrame]:
+def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k: int, units: type[Bytes] | type[Words]) -> tuple[DataFrame, DataFrame]:
     """For ``keyed`` documents: one row (k1, k2, text) of each text that may lose bytes, and (k1, k2, spans) of those that do, unmerged.
 
-    ``units`` makes a function from a text to its bytes.
+    Widths and spans count units; k is a power of two.
     """
-    spark = docs.sparkSession
+    spark, size = docs.sparkSession, units.size
 
     # 1. anchors
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +209,9 @@ def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k:
         for b in chunks(batches):
             t, s, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(text) * 4 >= width and key not in seen:
+                if len(text) * 4 >= width and key not in seen:  # a character has 4 bytes at most, and 1 word
                     seen.add(key)
-                    found, times = np.unique(segments(np.frombuffer(encode(text), np.uint8), width, k)[1], return_counts=True)
+                    found, times = np.unique(segments(np.frombuffer(encode(text), units.kind), width, k)[1], return_counts=True)
                     t.append(found), s.append(np.full(len(found), key)), m.append(np.minimum(times, 2))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (t, s, m)], ["t", "k1", "m"])
 
@@ -224,21 +233,22 @@ def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k:
                     continue
                 seen.add((k1, k2))
                 data = encode(text)
-                place, t, lo, hi = segments(np.frombuffer(data, np.uint8), width, k)
+                place, t, lo, hi = segments(np.frombuffer(data, units.kind), width, k)
                 same: dict[bytes, int] = {}
                 for i in np.flatnonzero(np.isin(t, np.array(wanted_here))).tolist():
-                    seg, left = data[lo[i] : hi[i] + width], int(place[i] - lo[i])
+                    seg, left = data[lo[i] * size : (hi[i] + width) * size], int(place[i] - lo[i])
                     name = left.to_bytes(4) + seg
                     if name in same:
                         out["los"][same[name]].append(int(lo[i]))
                         continue
                     same[name] = len(out["los"])
-                    for c, v in (("lead", int.from_bytes(seg[left : left + 8]) >> 1), ("t", int(t[i])), ("h", xxhash.xxh64_intdigest(name) >> 1), ("left", left), ("windows", int(hi[i] - lo[i])), ("seg", seg), ("k1", k1), ("k2", k2), ("los", [int(lo[i])])):
+                    for c, v in (("lead", int.from_bytes(seg[left * size : left * size + 8]) >> 1), ("t", int(t[i])), ("h", xxhash.xxh64_intdigest(name) >> 1), ("left", left), ("windows", int(hi[i] - lo[i])), ("seg", seg), ("k1", k1), ("k2", k2), ("los", [int(lo[i])])):
                         out[c].append(v)
             kinds = {"left": pa.int32(), "windows": pa.int32(), "seg": pa.binary(), "los": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array(out[c], kinds.get(c, pa.int64())) for c in SEGMENT], list(SEGMENT))
 
-    segs = source.select("k1", "k2", "text", "anchors").mapInArrow(cut, ", ".join(f"{c} {v}" for c, v in SEGMENT.items()))
+    # written first: range partitioning reads its input twice
+    segs = store.put(source.select("k1", "k2", "text", "anchors").mapInArrow(cut, ", ".join(f"{c} {v}" for c, v in SEGMENT.items())))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_segs = segs.repartitionByRange(tasks, "lead", "t", "h").sortWithinPartitions("lead", "t", "h")
 
@@ -254,7 +264,7 @@ def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k:
             out: list[tuple] = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and x < y and held[-1][1] != rows[x][1]:
-                    out += [(*r, None, None) for r in held] if first else spans_of(held, width)
+                    out += [(*r, None, None) for r in held] if first else spans_of(held, width, size)
                     first, held = False, []
                 held += rows[x:y]
             yield spans_batch(out)
@@ -272,8 +282,8 @@ def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k:
             for r in b.itertuples():
                 for q in range((r.left - r.windows) // RUN, r.left // RUN + 1):
                     lo, hi = max(q * RUN, r.left - r.windows), min(q * RUN + RUN - 1, r.left)
-                    core = r.seg[r.left - q * RUN : r.left - q * RUN + width - RUN + 1]
-                    data = r.seg[r.left - hi : r.left - lo + width]
+                    core = r.seg[(r.left - q * RUN) * size : (r.left - q * RUN + width - RUN + 1) * size]
+                    data = r.seg[(r.left - hi) * size : (r.left - lo + width) * size]
                     out.append((*two_longs(q.to_bytes(4) + core), *two_longs(lo.to_bytes(4) + hi.to_bytes(4) + data), lo, hi, data, r.k1, r.k2, [int(x) + r.left - hi for x in r.los]))
             yield pd.DataFrame(out, columns=["c1", "c2", "f1", "f2", "lo", "hi", "data", "k1", "k2", "at"])
 
@@ -283,7 +293,7 @@ def lost_spans(docs: DataFrame, texts: DataFrame, store: Staged, width: int, k:
 
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(r.f1, r.f2, i, *two_longs((r.hi - i).to_bytes(4) + r.data[i : i + width])) for r in b.itertuples() for i in range(r.hi - r.lo + 1)]
+            out = [(r.f1, r.f2, i, *two_longs((r.hi - i).to_bytes(4) + r.data[i * size : (i + width) * size])) for r in b.itertuples() for i in range(r.hi - r.lo + 1)]
             yield pd.DataFrame(out, columns=["f1", "f2", "i", "w1", "w2"])
 
     windows = store.put(full.join(several, ["c1", "c2"]).select("f1", "f2", "lo", "hi", "data").mapInPandas(single, "f1 long, f2 long, i int, w1 long, w2 long"))
@@ -337,17 +347,13 @@ def kept_bytes(source: DataFrame, lost: DataFrame) -> DataFrame:
 
 def passage_runs(docs: DataFrame, texts: DataFrame, store: Staged, words: int) -> DataFrame:
     """(k1, k2, runs) of the texts that repeat passages of ``words`` words: how many maximal runs of words such passages cover."""
-    _, lost = lost_spans(docs, texts, store, words * WORD_BYTES, 32, WordBytes)
+    _, lost = lost_spans(docs, texts, store, words, 8, Words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            runs = []
-            for spans in b["spans"]:
-                whole = [(-(-c["start"] // WORD_BYTES), c["end"] // WORD_BYTES) for c in spans]  # whole words
-                runs.append(len(merged([(x, y) for x, y in whole if y - x >= words])))
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "runs": runs})
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "runs": [len(merged([(c["start"], c["end"]) for c in spans])) for spans in b["spans"]]})
 
-    return store.put(lost.mapInPandas(count, "k1 long, k2 long, runs long").where("runs > 0"))
+    return store.put(lost.mapInPandas(count, "k1 long, k2 long, runs long"))
 
 
 SEGMENT = {"lead": "long", "t": "long", "h": "long", "left": "int", "windows": "int", "seg": "binary", "k1": "long", "k2": "long", "los": "array<int>"}
@@ -364,7 +370,7 @@ def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(columns, names.values(), strict=True)], list(names))
 
 
-def spans_of(rows: list[tuple], width: int) -> list[tuple]:
+def spans_of(rows: list[tuple], width: int, size: int = 1) -> list[tuple]:
     """Removed spans, as rows of SEGMENT and SPAN, of a group of segments (rows of SEGMENT) with one anchor."""
     if len(rows) == 1 and len(rows[0][8]) == 1:
         return []
@@ -374,11 +380,11 @@ def spans_of(rows: list[tuple], width: int) -> list[tuple]:
     for _, _, _, left, windows, seg, _, _, los in rows:
         i = which.setdefault((left, seg), len(parts))
         if i == len(parts):
-            parts.append((seg[:left][::-1], seg[left:], left - windows, left))
+            parts.append((seg[: left * size][::-1], seg[left * size :], left - windows, left))
             times.append(0)
         of.append(i)
         times[i] += len(los)
-    flags = repeated(parts, width) if len(parts) > 1 else [np.zeros(parts[0][3] - parts[0][2] + 1, bool)]
+    flags = repeated(parts, width, size) if len(parts) > 1 else [np.zeros(parts[0][3] - parts[0][2] + 1, bool)]
     hits = [[(0, len(f) - 1)] if t > 1 else runs_of(f[::-1]) for f, t in zip(flags, times, strict=True)]  # by window, the largest offset first
     return [(None, None, None, None, None, None, r[6], r[7], None, lo + a, lo + b + width) for i, r in zip(of, rows, strict=True) for lo in r[8] for a, b in hits[i]]
 
@@ -393,7 +399,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     store = Staged(df.sparkSession, "suffixes")
     docs = keyed(df, id_col, text_col)
     texts = distinct_texts(docs, store)
-    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, lambda: as_bytes))
+    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, Bytes))
     data, n = F.encode("text", "UTF-8"), F.octet_length("text")
     whole = (F.col("copies") > 1) & (n >= width)
     rows = docs.join(texts.drop("rep"), ["k1", "k2"]).join(lost, ["k1", "k2"], "left")
@@ -415,7 +421,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str, width: int = 400, words: int
     store = Staged(spark, "suffixes")
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     texts = distinct_texts(docs, store)
-    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, lambda: as_bytes))
+    lost = kept_bytes(*lost_spans(docs, texts, store, width, 64, Bytes))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
     digests = store.put(lost.select("k1", "k2", removed.alias("removed"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("kept_sha")))
     store.drop(*[f"{store.root}/{i}" for i in range(2, store.n)])  # all but the texts and the digests
