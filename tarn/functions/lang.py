@@ -1,19 +1,35 @@
-"""Language of a text by its commonest function words and letters."""
+"""Language of a text by its script, its commonest function words and letters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Function words that tell the languages apart.
+#: Function words that tell the languages of the Latin script apart.
 WORDS = {
     "en": ("the", "of", "and", "to", "in", "that", "is", "was", "for", "with", "as", "are"),
     "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "des", "auf", "nicht"),
     "fr": ("le", "les", "et", "des", "en", "une", "du", "qui", "pour", "dans", "que", "la"),
     "es": ("el", "los", "las", "que", "en", "y", "del", "por", "con", "una", "de", "la"),
+    "it": ("il", "gli", "che", "di", "della", "per", "non", "sono", "nel", "alla", "è", "una"),
+    "pt": ("o", "os", "não", "uma", "do", "da", "em", "para", "com", "são", "ao", "mais"),
+    "nl": ("de", "het", "een", "van", "en", "niet", "zijn", "voor", "met", "dat", "op", "aan"),
+    "sv": ("och", "att", "det", "som", "en", "på", "är", "av", "för", "inte", "den", "med"),
+    "da": ("og", "det", "at", "en", "af", "er", "til", "på", "ikke", "med", "den", "som"),
+    "pl": ("i", "w", "nie", "na", "się", "z", "do", "że", "jest", "o", "jak", "dla"),
+    "cs": ("a", "se", "v", "na", "je", "že", "s", "z", "do", "pro", "jsou", "by"),
+    "tr": ("ve", "bir", "bu", "için", "ile", "da", "de", "çok", "olarak", "ne", "gibi", "daha"),
+    "fi": ("ja", "on", "ei", "että", "se", "oli", "hän", "mutta", "ovat", "kun", "tai", "myös"),
+    "hu": ("a", "az", "és", "hogy", "nem", "is", "egy", "van", "volt", "meg", "csak", "mint"),
+    "ro": ("și", "în", "de", "la", "nu", "cu", "este", "pe", "care", "din", "mai", "sunt"),
+    "id": ("yang", "dan", "di", "itu", "dengan", "untuk", "tidak", "ini", "dari", "dalam", "akan", "pada"),
 }
-#: Letters that one of the languages has and the others lack.
-LETTERS = {"de": "äöüß", "fr": "èêçàâîôûœ", "es": "ñíóúá¿¡"}
+#: Letters that some of these languages have and the others lack, or mostly lack.
+LETTERS = {"de": "äöüß", "fr": "èêçàâîôûœ", "es": "ñíóúá¿¡", "pt": "ãõ", "sv": "åäö", "da": "æøå", "pl": "łżźśćńęą", "cs": "řěůčšž", "tr": "ışğ", "hu": "őű", "ro": "șțăâî"}
+#: Scripts of one language or of one chosen language, as Unicode classes.
+SCRIPTS = {"ru": "\\p{IsCyrillic}", "el": "\\p{IsGreek}", "he": "\\p{IsHebrew}", "ar": "\\p{IsArabic}", "hi": "\\p{IsDevanagari}", "th": "\\p{IsThai}", "ko": "\\p{IsHangul}", "ja": "\\p{IsHiragana}\\p{IsKatakana}", "zh": "\\p{IsHan}", "hy": "\\p{IsArmenian}", "ka": "\\p{IsGeorgian}"}
+#: Letters by which another language of a script is known.
+WITHIN = {"ru": {"uk": "іїєґ", "sr": "ђћџљњ", "bg": "ъ"}, "ar": {"fa": "پچژگ", "ur": "ٹڈڑے"}}
 
 
 def detected(c: Column, default: str = "en", sample: int | None = None) -> Column:
@@ -23,16 +39,23 @@ def detected(c: Column, default: str = "en", sample: int | None = None) -> Colum
     """
     low = F.lower(c if sample is None else F.substring(c, 1, sample))
     words = F.split(low, r"[^\p{L}]+")
-    n = F.greatest(F.size(words), F.lit(1))
+    n, size = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(low), F.lit(1))
     scores = {}
     for lang, stop in WORDS.items():
         hits = F.size(F.array_compact(F.transform(words, _kept(stop)))) / n
-        letters = F.length(F.regexp_replace(low, f"[^{LETTERS[lang]}]", "")) / F.greatest(F.length(low), F.lit(1)) * 5 if lang in LETTERS else F.lit(0.0)
+        letters = F.length(F.regexp_replace(low, f"[^{LETTERS[lang]}]", "")) / size * 5 if lang in LETTERS else F.lit(0.0)
         scores[lang] = hits + letters
     best = F.greatest(*scores.values())
     out = F.lit(default)
     for lang, s in reversed(list(scores.items())):
         out = F.when((s == best) & (best > 0), lang).otherwise(out)
+    # another script: a text has a fifth of its characters in it; kana tell Japanese from Chinese
+    for lang, chars in reversed(list(SCRIPTS.items())):
+        share = F.length(F.regexp_replace(low, f"[^{chars}]", "")) / size
+        name = F.lit(lang)
+        for other, marks in WITHIN.get(lang, {}).items():
+            name = F.when(F.length(F.regexp_replace(low, f"[^{marks}]", "")) * 200 >= F.length(low), other).otherwise(name)
+        out = F.when(share >= (0.05 if lang == "ja" else 0.2), name).otherwise(out)
     return out
 
 

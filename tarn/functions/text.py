@@ -32,23 +32,13 @@ def content_hash_4(c: Column) -> Column:
     return F.md5(F.array_join(F.transform(words(F.lower(c)), lambda x: F.soundex(x)), ""))
 
 
-#: Suffixes of the light stemmer by language, longest first.
-SUFFIXES = {"en": ("ational", "ization", "fulness", "ingly", "ation", "ness", "ment", "able", "ible", "ing", "ies", "ed", "ly", "es", "s"), "fr": ("issement", "ations", "ation", "ement", "euse", "ique", "eux", "ent", "er", "es", "s"), "de": ("igkeit", "ungen", "heit", "keit", "lich", "ung", "en", "er", "es", "e"), "es": ("aciones", "amiento", "ación", "mente", "idad", "ando", "ado", "ar", "os", "as")}
-
-
-def stem(word: str, lang: str) -> str:
-    """A word without the longest known suffix that leaves three letters."""
-    for s in SUFFIXES.get(lang, SUFFIXES["en"]):
-        if word.endswith(s) and len(word) - len(s) >= 3:
-            return word[: -len(s)]
-    return word
-
-
 @F.pandas_udf(T.StringType())
 def content_hash_3(text: pd.Series, lang: pd.Series) -> pd.Series:
-    """md5 of the stemmed lowered words, by language."""
+    """md5 of the stemmed lowered words, by language (null: English)."""
     import hashlib
 
+    from tarn.functions.stem import stem
+
     return pd.Series([None if t is None else hashlib.md5("".join(stem(w, g or "en") for w in t.lower().split()).encode()).hexdigest() for t, g in zip(text, lang, strict=True)], dtype=object)
 
 

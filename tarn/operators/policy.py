@@ -35,7 +35,7 @@ def admitted(events: DataFrame, host: str, ts: str, min_gap: float) -> DataFrame
                     keep.append(False)
             yield b[keep]
 
-    return events.repartition(host).sortWithinPartitions(host, ts).mapInPandas(run, events.schema)
+    return events.repartition(host).sortWithinPartitions(host, ts, *[c for c in events.columns if c not in (host, ts)]).mapInPandas(run, events.schema)
 
 
 def period_counts(usage: DataFrame, keys: Sequence[str], ts: str, period: str) -> DataFrame:

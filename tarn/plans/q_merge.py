@@ -24,9 +24,14 @@ def d1(spark, d):
     return M.first_wins(table(spark, d, "documents").select(F.md5("text").alias("m"), "doc_id"), ["m"], [F.col("doc_id")])
 
 
-@query("d2_url_merge_fold")
+FOLD = "CASE WHEN (o.status <= n.status AND least(n.crawled, n.processed, n.batch_id) > 0) OR (o.status = n.status AND n.crawled > 0 AND (o.crawled = 0 OR n.u_date > o.u_date)) THEN n ELSE o END"
+NAMES = ("url_md5", "node", "pos", "status", "crawled", "processed", "batch_id", "u_date")
+
+
+@query("d2_url_merge_fold", f"SELECT u.* FROM (SELECT list_reduce(list(struct_pack({', '.join(f'{n} := {n}' for n in NAMES)}) ORDER BY pos, {', '.join(NAMES)}), lambda o, n: {FOLD}) AS u FROM {NODES} GROUP BY url_md5)")
 def d2(spark, d):
-    return M.folded(node_rows(spark, d), ["url_md5"], ["pos"], M.url_replaces)
+    rows = node_rows(spark, d)
+    return M.folded(rows, ["url_md5"], ["pos", *rows.columns], M.url_replaces)
 
 
 @query("d2b_url_merge_total", f"SELECT url_md5, status, crawled, u_date FROM (SELECT *, row_number() OVER (PARTITION BY url_md5 ORDER BY status DESC, (crawled > 0) DESC, u_date DESC, pos) AS rn FROM {NODES}) WHERE rn = 1")
@@ -34,7 +39,7 @@ def d2b(spark, d):
     return M.latest_by_total_order(node_rows(spark, d), ["url_md5"]).select("url_md5", "status", F.col("crawled").cast("long").alias("crawled"), "u_date")
 
 
-@query("d3_content_entities")
+@query("d3_content_entities", "WITH RECURSIVE r AS MATERIALIZED (SELECT source AS site_id, doc_id AS pos, md5(CAST(doc_id AS VARCHAR)) AS url_md5, md5(text) AS raw_content_md5, CASE WHEN n_chars < 200 THEN md5(substr(text, 1, 20)) END AS content_url_md5 FROM documents), e AS MATERIALIZED (SELECT a.pos AS a, b.pos AS b FROM r a JOIN r b ON a.site_id = b.site_id AND a.raw_content_md5 = b.raw_content_md5 UNION SELECT a.pos, b.pos FROM r a JOIN r b ON a.site_id = b.site_id AND a.content_url_md5 = b.content_url_md5), w(pos, other) AS (SELECT pos, pos FROM r UNION SELECT w.pos, e.b FROM w JOIN e ON w.other = e.a) SELECT r.*, entity FROM r JOIN (SELECT pos, min(other) AS entity FROM w GROUP BY 1) USING (pos)")
 def d3(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("site_id"), F.col("doc_id").alias("pos"), F.md5(F.col("doc_id").cast("string")).alias("url_md5"), F.md5("text").alias("raw_content_md5"), F.when(F.col("n_chars") < 200, F.md5(F.substring("text", 1, 20))).alias("content_url_md5"))
     return M.same_contents(rows)

@@ -222,13 +222,13 @@ def e16(spark, d):
     return decided(before, "o_orderkey", rules, F.col("size"), 2, default=False).where("passes").select("o_orderkey")
 
 
-@query("s8_feed_source")
+@query("s8_feed_source", "SELECT page_id % 5 AS feed, url AS link, regexp_extract(url, '[a-z]+$') AS title FROM pages")
 def s8(spark, d):
     from tarn.functions.html import parse_feed
 
-    item = F.concat(F.lit("<item><title>t</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
+    item = F.concat(F.lit("<item><title> "), F.regexp_extract("url", "[a-z]+$", 0), F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
     feeds = table(spark, d, "pages").groupBy((F.col("page_id") % 5).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.concat_ws("", F.collect_list(item)), F.lit("</channel></rss>")).alias("xml"))
-    return feeds.select("feed", F.explode(parse_feed("xml")).alias("e")).select("feed", F.col("e")["link"].alias("link"))
+    return feeds.select("feed", F.explode(parse_feed("xml")).alias("e")).select("feed", F.col("e")["link"].alias("link"), F.col("e")["title"].alias("title"))
 
 
 @query("s13_joined_results", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS o_orderpriority FROM orders")
@@ -277,7 +277,7 @@ def g1(spark, d):
     return spark.read.parquet(f"{root}/selected")
 
 
-@query("g7_task_queue")
+@query("g7_task_queue", "SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN bool_or(event_type = 'purchase') THEN 'finished' ELSE 'expired' END AS outcome FROM events GROUP BY user_id HAVING bool_or(event_type = 'purchase') OR max(ts) + INTERVAL 60 SECOND <= (SELECT max(ts) FROM events)")
 def g7(spark, d):
     """Task updates through the queue processor; needs the RocksDB state store, which is set for this session."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -285,12 +285,16 @@ def g7(spark, d):
     return G.drained(G.task_outcomes(stream.select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", "purchase", 60000))
 
 
-@query("r3c_stream_limiter")
+LIMITED = "WITH f AS (SELECT user_id, list_reduce(list(struct_pack(t := ts, ids := [struct_pack(e := event_id, ts := ts)]) ORDER BY ts, event_id), lambda o, n: CASE WHEN n.t >= o.t + INTERVAL 3600 SECOND THEN struct_pack(t := n.t, ids := o.ids || n.ids) ELSE o END).ids AS l FROM events GROUP BY 1) SELECT user_id, x.e AS event_id, x.ts AS ts FROM (SELECT user_id, unnest(l) AS x FROM f)"
+
+
+@query("r3c_stream_limiter", LIMITED)
 def r3c(spark, d):
     """The rate limiter over the event stream."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    return G.drained(G.limited(stream.select("event_id", "user_id", "ts"), "user_id", "ts", 3600.0))
+    got = G.drained(G.limited(stream.select("event_id", "user_id", "ts"), "user_id", "ts", 3600.0))
+    return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("a13_stat_fields", "WITH o AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'purchase' THEN 'SET' WHEN 'click' THEN 'SUB' ELSE 'ADD' END AS op, CAST(round(value) AS BIGINT) AS v FROM events), l AS (SELECT user_id, max(event_id) AS last FROM o WHERE op IN ('INIT', 'SET') GROUP BY 1) SELECT o.user_id, CAST(sum(CASE op WHEN 'ADD' THEN v WHEN 'SUB' THEN -v WHEN 'SET' THEN v ELSE 0 END) AS BIGINT) AS value FROM o LEFT JOIN l ON l.user_id = o.user_id WHERE last IS NULL OR event_id >= last GROUP BY 1")

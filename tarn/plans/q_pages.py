@@ -12,6 +12,8 @@ from tarn.operators import policy as P
 from tarn.operators import rules as R
 from tarn.plans.registry import query, table
 
+from tarn.plans.q_more import LIMITED
+
 
 def pages(spark, d):
     return table(spark, d, "pages")
@@ -34,9 +36,12 @@ def x2(spark, d):
     return C.collected_links(pages(spark, d), "page_id", "url", "html", allow, max_per_page=4)
 
 
-@query("x3_forms")
+@query("x3_forms", "SELECT page_id, '/find?p=' || page_id AS action, CASE WHEN page_id % 2 = 0 THEN 'post' ELSE 'get' END AS method, unnest(['q', 'where', 'note']) AS field, unnest([url, '', CAST(page_id AS VARCHAR)]) AS value FROM pages")
 def x3(spark, d):
-    return pages(spark, d).select("page_id", H.extract_forms("html").alias("forms"))
+    """The fields of the forms of every page; a form is put into each."""
+    form = F.concat(F.lit("<form action='/find?p="), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, "' method=POST>").otherwise("'>"), F.lit('<p><INPUT name=q value="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"><select name="where"><option>a</select><input type=submit><textarea name=note value="'), F.col("page_id"), F.lit('"></textarea></form>'))
+    found = pages(spark, d).select("page_id", F.explode(H.extract_forms(F.concat("html", form))).alias("f"))
+    return found.select("page_id", "f.action", "f.method", F.explode("f.fields").alias("field", "value"))
 
 
 @query("x4_url_schema", "SELECT 'http://h/' || r_name || '?p=' || v AS url FROM region, (SELECT unnest(range(1, 20, 3)) AS v) ORDER BY r_name, v LIMIT 30")
@@ -52,9 +57,9 @@ def x5(spark, d):
     return C.iterated(spark.range(1, 2).toDF("id"), links, "a", "b", 3, 100000)
 
 
-@query("x6_template_extraction")
+@query("x6_template_extraction", "SELECT page_id, trim(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&')) AS title, replace(array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), ','), '&amp;', '&') AS nav, regexp_extract(html, '<meta charset=\"([^\"]*)\">', 1) AS charset, '-' AS none FROM pages")
 def x6(spark, d):
-    rules = {"title": [{"path": "//title"}], "nav": [{"path": "//nav//a", "join": ","}], "charset": [{"path": "//meta/@charset"}], "none": [{"path": "//blink", "default": "-"}]}
+    rules = {"title": [{"path": "//blink"}, {"path": "//title"}], "nav": [{"path": "//nav//a", "join": ","}], "charset": [{"path": "//meta/@charset"}], "none": [{"path": "//blink", "default": "-"}]}
     t = H.fill_template(rules)("html")
     return pages(spark, d).select("page_id", t["title"].alias("title"), t["nav"].alias("nav"), t["charset"].alias("charset"), t["none"].alias("none"))
 
@@ -79,9 +84,10 @@ def x8(spark, d):
     return pages(spark, d).select("page_id", H.extract_main_text("html").alias("text"))
 
 
-@query("x9_items")
+@query("x9_items", "SELECT page_id, CAST(i - 1 AS INT) AS item, replace(t[i], '&amp;', '&') AS text, h[i] AS href FROM (SELECT page_id, t, h, unnest(range(1, len(t) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) AS t, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">[^<]*</a></li>', 1) AS h FROM pages))")
 def x9(spark, d):
-    return pages(spark, d).select("page_id", F.posexplode(H.extract_items("//li", {"text": "/a", "href": "/a/@href"}, ("text",))("html")).alias("item", "tags"))
+    found = pages(spark, d).select("page_id", F.posexplode(H.extract_items("//li", {"text": "/a", "href": "/a/@href"}, ("text",))("html")).alias("item", "tags"))
+    return found.select("page_id", "item", F.col("tags")["text"].alias("text"), F.col("tags")["href"].alias("href"))
 
 
 @query("x11_regex_post", "SELECT page_id, array_to_string(regexp_extract_all(url, '\\d+'), '-') AS numbers FROM pages")
@@ -126,7 +132,7 @@ def r3(spark, d):
     return P.average_rate(table(spark, d, "events"), "user_id", "ts", 0.01).select("event_id", "rate")
 
 
-@query("r3b_admitted")
+@query("r3b_admitted", LIMITED)
 def r3b(spark, d):
     return P.admitted(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600.0)
 

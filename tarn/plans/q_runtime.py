@@ -161,9 +161,11 @@ def stream(spark, d):
     return spark.readStream.schema(table(spark, d, "events").schema).parquet(path.rsplit("/", 1)[0] + "/events.parque[t]")
 
 
-@query("g9_stream_counters")
+@query("g9_stream_counters", "SELECT date_trunc('hour', ts) AS start, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def g9(spark, d):
-    return G.drained(G.operation_counters(stream(spark, d), "user_id", "event_type", "ts"))
+    """Windows that the watermark has closed."""
+    got = G.drained(G.operation_counters(stream(spark, d), "user_id", "event_type", "ts"))
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("g10_stream_rates", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -135,7 +135,7 @@ def h2(spark, d):
 
 @query("h3_content_hash")
 def h3(spark, d):
-    return docs(spark, d).select("doc_id", X.content_hash_3("text", "lang").alias("h"))
+    return docs(spark, d).select("doc_id", X.content_hash_3(F.col("text"), L.detected(F.col("text"))).alias("h"))
 
 
 @query("h4_content_hash")

@@ -38,7 +38,8 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        every = pd.concat(list(rows)).sort_values(self.ts)
+        every = pd.concat(list(rows))
+        every = every.sort_values([self.ts, *(c for c in every.columns if c != self.ts)])
         keep = []
         for t in every[self.ts]:
             t = t.to_pydatetime()
@@ -110,4 +111,4 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={batch}")
 
     df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows").select(*df.columns)
