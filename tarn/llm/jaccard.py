@@ -302,7 +302,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     component_id is the smallest id reachable by links, the row's own included. A null or empty text has no shingles and links
     with nothing; texts under ``size`` words are one shingle. Rows with a null id can link others but name no component
-    unless all its ids are null (then it is null). Repeated rows are equal sets. Other columns are not read.
+    unless all its ids are null (then it is null). Repeated rows are equal sets, an empty table gives no rows. Texts are whole however long,
+    up to 2**31 shingles. Other columns are not read.
     """
     spark = df.sparkSession
     store = Staged(spark, "jaccard")

@@ -269,7 +269,8 @@ def with_personal(df: DataFrame, weights: crf.Weights, text_col: str = "text", n
     """``df`` with array<struct<start, end, kind, base>> of code-point spans of each whole text, by kind and start.
 
     ``base`` tells whether a pattern or the field found the span. A null text is the empty one and has no span. An
-    input column of that name is replaced. Repeated rows are scanned each.
+    input column of that name is replaced. Repeated rows are scanned each, an empty table gives none; texts are whole however long,
+    and the memory of the messages is in proportion to the tokens with digits or signs of a batch of texts.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights)  # a fixed number of weights
 

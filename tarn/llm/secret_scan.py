@@ -139,7 +139,8 @@ def with_secrets(df: DataFrame, weights: crf.Weights, text_col: str = "text", na
     """``df`` with array<struct<start, end, kind>> of code-point spans of each whole text, by start and kind.
 
     Kinds are assign, access, hex (base) and crf (added). A null text is the empty one and has no span. An input column of that
-    name is replaced. Repeated rows are scanned each.
+    name is replaced. Repeated rows are scanned each, an empty table gives none; texts are whole however long, and the work is in
+    proportion to their length.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights)  # a fixed number of weights
 

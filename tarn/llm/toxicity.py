@@ -110,8 +110,9 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int = 6, params: Ftrl | None = None) -> Model:
     """A model from at most ``max_rows`` labelled rows that aren't held out (those with the smallest hash of doc_id).
 
-    Several labels of one id count as the largest. Null ids, labels and texts give no example. Without any
-    example the model scores every text 0.
+    Several labels of one id count as the largest; of rows that repeat an id one text counts (that with the least features). Null
+    ids, labels and texts give no example; an empty text is an example without features; texts are whole however long; other columns are not
+    read. Without any example the model scores every text 0.
     """
     p = params or Ftrl()
     picked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
@@ -134,14 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32768, epochs: int
         yield pd.DataFrame({"at": [at], "w": [w], "bias": [bias]})
 
     examples = rows.select(F.xxhash64("doc_id").alias("k"), "y", "text").mapInArrow(hashed, "k long, y int, x array<int>")
-    got = examples.repartition(1).sortWithinPartitions("k", "x").mapInPandas(fit, "at array<int>, w array<double>, bias double").collect()
+    once = examples.groupBy("k").agg(F.min("y").alias("y"), F.min("x").alias("x"))  # rows that repeat an id are one example
+    got = once.select("k", "y", "x").repartition(1).sortWithinPartitions("k").mapInPandas(fit, "at array<int>, w array<double>, bias double").collect()
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0), -100.0, bits)
     return Model(np.array(got[0]["at"], np.int32), np.array(got[0]["w"]), got[0]["bias"], bits)
 
 
 def with_score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``df`` with a column of scores from 0 to 1 of whole texts; a null text scores as the empty one. An input column of that name is replaced."""
+    """``df`` with a column of scores from 0 to 1 of whole texts; a null text scores as the empty one, a very long one takes memory in proportion. Repeated rows are scored each, an empty table gives none. An input column of that name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast((model.at, model.weight, model.bias, model.bits))
 
     @F.pandas_udf("double")

@@ -89,3 +89,11 @@ def test_odd_texts_are_scored(spark):
     rows = toxicity.with_score(docs, toxicity.train(docs, labels)).collect()
     assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.with_score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
+
+
+def test_rows_that_repeat_an_id_are_one_example(spark):
+    texts = [(i, f"word{i % 7} {'vile' if i % 3 == 0 else 'kind'} text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    often = toxicity.train(spark.createDataFrame(texts + [texts[5]] * 400 + [(5, texts[5][1] + " and more words")], "doc_id long, text string").repartition(6), labels)
+    assert np.array_equal(once.at, often.at) and np.allclose(once.weight, often.weight)
