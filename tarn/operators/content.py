@@ -99,3 +99,44 @@ def by_rank(c: Column, names: Sequence[str] | None = None) -> Column:
     ranked = sorted(((r, n, f) for n, (r, f) in EXTRACTORS.items() if names is None or n in names), key=lambda x: (-x[0], x[1]))
     results = [f(c) for _, _, f in ranked]
     return F.coalesce(*[F.when(F.trim(F.coalesce(r, F.lit(""))) != "", r) for r in results])
+
+
+def meta(c: Column, name: str) -> Column:
+    """The content of a page's meta element of a name or property, in either order of its attributes; empty if none."""
+    key = rf"(?:name|property)\s*=\s*[\"']?{name}[\"']?"
+    value = r"content\s*=\s*[\"']([^\"']*)[\"']"
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(c, rf"(?is)<meta\b[^>]*{key}[^>]*{value}", 1), F.lit("")), F.regexp_extract(c, rf"(?is)<meta\b[^>]*{value}[^>]*{key}", 1)))
+
+
+def element(c: Column, tag: str) -> Column:
+    """The text of a page's first element of a tag, without the tags in it."""
+    return F.trim(F.regexp_replace(F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", ""))
+
+
+def attribute(c: Column, tag: str, name: str) -> Column:
+    return F.trim(F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+
+
+def linked_data(c: Column, path: str) -> Column:
+    """A value of a page's first block of linked data (JSON-LD)."""
+    block = F.regexp_extract(c, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1)
+    return F.coalesce(F.get_json_object(block, path), F.lit(""))
+
+
+#: The extractors of each tag of an article, the best first; a later one fills what those before it leave empty.
+TAGS: dict[str, tuple[tuple[str, Callable[[Column], Column]], ...]] = {
+    "title": (("linked data", lambda c: linked_data(c, "$.headline")), ("open graph", lambda c: meta(c, "og:title")), ("heading", lambda c: element(c, "h1")), ("head", lambda c: element(c, "title"))),
+    "author": (("linked data", lambda c: linked_data(c, "$.author.name")), ("meta", lambda c: meta(c, "author")), ("link", lambda c: F.trim(F.regexp_extract(c, r"(?is)<a\b[^>]*rel\s*=\s*[\"']author[\"'][^>]*>([^<]*)</a>", 1)))),
+    "pubdate": (("linked data", lambda c: linked_data(c, "$.datePublished")), ("open graph", lambda c: meta(c, "article:published_time")), ("time", lambda c: attribute(c, "time", "datetime")), ("meta", lambda c: meta(c, "date"))),
+    "description": (("open graph", lambda c: meta(c, "og:description")), ("meta", lambda c: meta(c, "description")), ("first paragraph", lambda c: element(c, "p"))),
+    "image": (("open graph", lambda c: meta(c, "og:image")), ("first", lambda c: attribute(c, "img", "src"))),
+}
+
+
+def ranked_tags(c: Column) -> Column:
+    """A map of each tag to {value, extractor}: the first filled result of its extractors; tags that none fills are null."""
+    entries = []
+    for tag, extractors in TAGS.items():
+        found = [F.when(F.length(f(c)) > 0, F.struct(f(c).alias("value"), F.lit(name).alias("extractor"))) for name, f in extractors]
+        entries += [F.lit(tag), F.coalesce(*found)]
+    return F.create_map(*entries)

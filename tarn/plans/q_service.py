@@ -244,3 +244,18 @@ def z9(spark, d):
     role = F.when(F.col("s_suppkey") % 4 == 0, "router").when(F.col("s_suppkey") % 4 == 1, "manager").otherwise("replica")
     nodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("cluster"), role.alias("role"), (F.col("s_acctbal") >= 0).alias("up"))
     return E.structure(nodes, "cluster")
+
+
+@query("x8c_ranked_tags", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Headline ' || page_id WHEN page_id % 2 = 0 THEN 'Graph ' || page_id ELSE trim(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) END AS title, CASE WHEN page_id % 5 = 0 THEN 'linked data' WHEN page_id % 2 = 0 THEN 'open graph' ELSE 'heading' END AS from_, CASE WHEN page_id % 5 = 0 THEN 'A' || page_id WHEN page_id % 3 = 0 THEN 'B' || page_id END AS author, CASE WHEN page_id % 5 = 0 THEN '2024-01-0' || page_id % 9 WHEN page_id % 7 = 0 THEN '2023-05-05' END AS pubdate FROM pages")
+def x8c(spark, d):
+    """Tags of articles by extractors in order of rank; pages are given some of the marks that extractors look for."""
+    k = F.col("page_id")
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.lit("")
+    data = F.when(k % 5 == 0, s('<script type="application/ld+json">{"headline":"Headline ', k, '","author":{"name":"A', k, '"},"datePublished":"2024-01-0', k % 9, '"}</script>')).otherwise(none)
+    graph = F.when(k % 2 == 0, s('<meta property="og:title" content="Graph ', k, '">')).otherwise(none)
+    author = F.when(k % 3 == 0, s("<META content='B", k, "' name='author'/>")).otherwise(none)
+    time = F.when(k % 7 == 0, "<time class=x datetime='2023-05-05'>then</time>").otherwise(none)
+    tags = table(spark, d, "pages").select("page_id", C.ranked_tags(F.concat(data, graph, author, "html", time)).alias("t"))
+    value = lambda tag: F.col("t")[tag]["value"].alias(tag)
+    return tags.select("page_id", value("title"), F.col("t")["title"]["extractor"].alias("from_"), value("author"), value("pubdate"))
