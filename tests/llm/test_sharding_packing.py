@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -63,12 +65,16 @@ def test_op10_digests(spark, sf):
         assert r["size"] == len(data) + 8 and r["text_crc32"] == zlib.crc32(data) and r["law"] == "rows" and r["grown_shard"] is None
 
 
-def reference_ids(text):
+@cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def reference_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check_packing(rows, texts, capacity):
@@ -120,3 +126,26 @@ def test_rounds_merge_bins_of_many_partitions(spark):
 def test_repeated_rows_are_packed_each(spark):
     rows = packing.pack(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, text string")).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+
+
+def test_ids_equal_the_tokenizer_on_many_texts(spark):
+    """Whole documents of sf0.01 and odd strings: several scripts, marks, digits, spaces, controls, contractions, emoji."""
+    rng = random.Random(8)
+    pools = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJ", "0123456789", " \t\n\r\x0b\x0c  　", "'’\"-_.,;:!?()[]{}<>/\\|@#$%^&*~`+=", "äöüßéèñçøåæœ", "абвгдежз", "你好世界日本語한국어", "العربيةעברית", "🙂🚀👩‍💻🏳️‍🌈", "́̈​‍﻿", "\x00\x01\x7f\x85", "fiⅣ²①"]
+    odd = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 120))) for _ in range(600)]
+    odd += ["I'll we've don't CAN'T o'clock 's", "a" * 5000, " " * 3000, "\n" * 2000, "12345678901234567890" * 50, "x y " * 4000]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + odd
+    path = packing.vocabulary()
+    wrong = [t[:80] for t in texts if list(packing.token_ids(t or "", path)) != reference_ids(t)]
+    assert wrong == []
+
+
+def test_a_tree_that_cannot_narrow_loses_little(spark, sf):
+    """Nodes that hold five bins on average stop merging early; all pieces are there, in few more sequences."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(16)
+    n = {}
+    for node_bins in (5, 50000):
+        rows = packing.pack(docs, node_bins=node_bins).collect()
+        n[node_bins] = len({r["sequence_id"] for r in rows})
+        assert sum(r["piece"] == 0 for r in rows) == docs.count()
+    assert n[5] <= 1.1 * n[50000]
