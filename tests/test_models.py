@@ -31,6 +31,13 @@ def test_normal_urls_of_all_pages(spark, sf):
     assert got == want and all(urls.normalized(u) == u for u in want.values())
 
 
+def test_resolved_links_of_all_pages(spark, sf):
+    pages = {r["page_id"]: r for r in rows(spark, sf, "pages", "page_id", "url", "html")}
+    want = sorted((k, urljoin(r["url"], link)) for k, r in pages.items() for link in re.findall(r'href="([^"]*)"', r["html"]))
+    got = sorted((r["page_id"], r["link"]) for r in run(spark, sf, "f2_url_resolve"))
+    assert len(got) == len(want) and got == want
+
+
 def soundex(word):
     """The American code: first letter, then digits of the letters after it; h and w between equal codes don't part them."""
     codes = {c: d for d, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
