@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,32 @@ def feed_rows(urls: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     return urls.join(first, F.col("url") == F.col("link"), "left").select(*urls.columns, F.coalesce(F.try_to_timestamp(F.col("e.date")).cast("timestamp_ntz"), now).alias("p_date"), F.coalesce(F.length(F.to_json("e")), F.lit(0)).alias("size"))
 
 
+#: Redirects that are looked up within each row; more are joined.
+LISTED = 64
+
+
 def resolved_links(rows: DataFrame, column: str, separator: str, redirects: DataFrame) -> DataFrame:
-    """A field of links with each one replaced by its redirect target (source, target)."""
-    from tarn.operators.rows import per_row
+    """A field of links with each one replaced by its redirect target (source, target; of several targets the least).
 
-    known = redirects.select(F.col("source").alias("_l"), F.col("target").alias("_t"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_t", "_l").alias("u")))), lambda x: x["u"]), separator)
-    return per_row(rows, lambda keyed: keyed.select("*", F.posexplode(F.split(column, separator)).alias("_i", "_l")).join(known, "_l", "left"), **{column: listed})
+    A few redirects are looked up where the rows are read, so that nothing moves. Many are joined to the distinct links of
+    each row; the row itself moves with one of them only, and links without a redirect go no further.
+    """
+    known = redirects.where("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
+    few, rest = known.limit(LISTED + 1).collect(), [c for c in rows.columns if c != column]
+    parts = F.split(F.col(f"`{column}`"), re.escape(separator))
+    swapped = lambda links, found: F.array_join(F.transform(links, lambda x: F.coalesce(F.try_element_at(found, x), x)), separator)
+    if len(few) <= LISTED:
+        found = F.create_map(*[F.lit(x) for r in few for x in (r["source"], r["target"])]).cast("map<string,string>")
+        return rows.select(*[F.col(f"`{c}`") for c in rest], swapped(parts, found).alias(column))
+    none = F.lit(None).cast("string")
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_r"), F.array_distinct(parts).alias("_d"), F.monotonically_increasing_id().alias("_row"))
+    each = keyed.select("_row", "_r", F.explode(F.concat(F.array(none), F.coalesce("_d", F.array().cast("array<string>")))).alias("_l"))
+    # rows go by their number, not all to the place of null
+    each = each.select("_row", "_l", F.when(F.col("_l").isNull(), F.col("_r")).alias("_r"), F.coalesce("_l", F.col("_row").cast("string")).alias("_k"), F.col("_l").isNotNull().alias("_n"))
+    met = each.join(known.select(F.col("source").alias("_k"), F.lit(True).alias("_n"), F.col("target").alias("_t")), ["_k", "_n"], "left").where("not _n or _t is not null")
+    hits = F.map_from_entries(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_l", "_t"))))
+    out = met.groupBy("_row").agg(F.first("_r", ignorenulls=True).alias("_r"), hits.alias("_m")).select("_r.*", "_m")
+    return out.select(*[F.col(f"`{c}`") for c in rest], swapped(parts, F.col("_m")).alias(column))
 
 
 def differences(a: DataFrame, b: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
