@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,32 +37,43 @@ WITHIN = {"ru": {"uk": "іїєґ", "sr": "ђћџљњ", "bg": "ъ"}, "ar": {"fa":
 def detected(c: Column, default: str = "en", sample: int | None = None) -> Column:
     """Code of the language with the most function words (share of all words) and letters; ties to the first, no evidence to the default.
 
-    ``sample`` looks at that many characters only.
+    ``sample`` looks at that many characters only. All letters and scripts that count stand beyond ASCII, so they are sought in what is left without it.
     """
-    low = F.lower(c if sample is None else F.substring(c, 1, sample))
-    words = F.split(low, r"[^\p{L}]+")
-    n, size = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(low), F.lit(1))
-    scores = {}
-    for lang, stop in WORDS.items():
-        hits = F.size(F.array_compact(F.transform(words, _kept(stop)))) / n
-        letters = F.length(F.regexp_replace(low, f"[^{LETTERS[lang]}]", "")) / size * 5 if lang in LETTERS else F.lit(0.0)
-        scores[lang] = hits + letters
-    best = F.greatest(*scores.values())
-    out = F.lit(default)
-    for lang, s in reversed(list(scores.items())):
-        out = F.when((s == best) & (best > 0), lang).otherwise(out)
+    t = _bound(F.lower(c if sample is None else F.substring(c, 1, sample)), lambda low: F.struct(F.split(low, r"[^\p{L}]+").alias("words"), F.regexp_replace(low, r"[\x00-\x7F]+", "").alias("rest"), F.length(low).alias("length")))
+    t = _bound(t, lambda t: F.struct(F.greatest(F.size(t["words"]), F.lit(1)).alias("n"), F.filter(t["words"], _among({w for stop in WORDS.values() for w in stop})).alias("known"), t["rest"].alias("rest"), t["length"].alias("length"), F.greatest(t["length"], F.lit(1)).alias("size")))
+    t = _bound(t, lambda t: F.struct(F.array(*[_score(lang, t) for lang in WORDS]).alias("scores"), t["rest"].alias("rest"), t["length"].alias("length"), t["size"].alias("size")))
+    return _bound(t, lambda t: _code(t, default))
+
+
+def _score(lang: str, t: Column) -> Column:
+    letters = _count(t["rest"], LETTERS[lang]) / t["size"] * 5 if lang in LETTERS else F.lit(0.0)
+    return F.size(F.filter(t["known"], _among(WORDS[lang]))) / t["n"] + letters
+
+
+def _code(t: Column, default: str) -> Column:
+    best = F.array_max(t["scores"])
+    out = F.when(best > 0, F.element_at(F.array(*[F.lit(x) for x in WORDS]), F.array_position(t["scores"], best).cast("int"))).otherwise(default)
     # another script: a text has a fifth of its characters in it; kana tell Japanese from Chinese
     for lang, chars in reversed(list(SCRIPTS.items())):
-        share = F.length(F.regexp_replace(low, f"[^{chars}]", "")) / size
         name = F.lit(lang)
         for other, marks in WITHIN.get(lang, {}).items():
-            name = F.when(F.length(F.regexp_replace(low, f"[^{marks}]", "")) * 200 >= F.length(low), other).otherwise(name)
-        out = F.when(share >= (0.05 if lang == "ja" else 0.2), name).otherwise(out)
+            name = F.when(_count(t["rest"], marks) * 200 >= t["length"], other).otherwise(name)
+        out = F.when(_count(t["rest"], chars) / t["size"] >= (0.05 if lang == "ja" else 0.2), name).otherwise(out)
     return out
 
 
-def _kept(words: tuple[str, ...]):
-    return lambda w: F.when(w.isin(*words), w)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is worked out once, however often the body names it. Chained, not nested: Spark does not evaluate a Python function over a lambda that uses the variable of another."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _count(c: Column, chars: str) -> Column:
+    """Characters of a class."""
+    return F.length(F.regexp_replace(c, f"[^{chars}]+", ""))
+
+
+def _among(words: Iterable[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*sorted(words))
 
 
 def mapped(code: Column, names: dict[str, str]) -> Column:

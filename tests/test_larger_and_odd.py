@@ -1,7 +1,9 @@
 """What larger tables and odd inputs brought to light."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tarn.functions import lang
 from tarn.operators import runtime
 
 
@@ -22,3 +24,20 @@ def test_no_text_moves_for_a_few_redirects(spark, sf):
 
     plan = registry.queries()["e17_link_resolver"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_language_is_worked_out_once(spark):
+    """Each class of characters is counted in one place of the plan, not once for each language that it may rule out."""
+    odd = {"": "xx", None: "xx", "la la la": "fr", "en en": "fr", "123 456": "xx", "ÀÉ The İstanbul ve bir ΣΑΣ": "tr", "ъ болгарский ъъъ": "bg", "їжак і є": "uk", "ñ ¿¡ áéíóú": "es", "カカカ" + "漢" * 40: "ja", "漢" * 10 + "a" * 40: "zh", "я" * 2 + "a" * 8: "ru", "я" * 2 + "a" * 9: "xx"}
+    df = spark.createDataFrame([(t, c) for t, c in odd.items()], "t string, want string").withColumn("got", lang.detected(F.col("t"), "xx"))
+    assert [r for r in df.collect() if r["want"] != r["got"]] == []
+    classes = len(lang.LETTERS) + len(lang.SCRIPTS) + sum(map(len, lang.WITHIN.values()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= classes + 1
+
+
+def test_language_under_a_python_function(spark):
+    @F.udf("string")
+    def doubled(x):
+        return x * 2
+
+    assert spark.createDataFrame([("der und die",)], "t string").select(doubled(lang.detected(F.col("t")))).first()[0] == "dede"
