@@ -41,3 +41,17 @@ def test_language_under_a_python_function(spark):
         return x * 2
 
     assert spark.createDataFrame([("der und die",)], "t string").select(doubled(lang.detected(F.col("t")))).first()[0] == "dede"
+
+
+def test_stem_hash_detects_once(spark, sf):
+    from tarn.plans import registry
+
+    plan = registry.queries()["h3_content_hash"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= len(lang.LETTERS) + len(lang.SCRIPTS) + sum(map(len, lang.WITHIN.values())) + 1
+
+
+@pytest.mark.parametrize("word,want", [("", ""), ("y", "y"), ("yy", "yy"), ("syzygy", "syzygi"), ("flying", "fly"), ("ed", "ed"), ("ing", "ing"), ("ééing", "ééing"), ("ąbying", "ąby"), ("yyying", "yy")])
+def test_odd_stems(word, want):
+    from tarn.functions.stem import porter
+
+    assert porter(word) == want
